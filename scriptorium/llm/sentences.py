@@ -41,6 +41,14 @@ ALIKE = dict(
     )
 )
 ONE_FOR_ONE = str.maketrans({**SOFT, **WIDE, **ALIKE})
+MAPPED = re.compile("[" + "".join(map(chr, ONE_FOR_ONE)) + "]")
+
+
+def plain(text: str) -> str:
+    """The text with spaces, width forms and look-alikes made plain, each code point in its place."""
+    return text if text.isascii() or not MAPPED.search(text) else text.translate(ONE_FOR_ONE)
+
+
 
 #: A final mark, the closing marks after it (French ones stand after a space), and where the text goes on.
 MARK = re.compile(
@@ -48,7 +56,14 @@ MARK = re.compile(
 )
 QUOTE = re.compile(r"[\"“”«»「」『』()\[\]（）［］【】]")
 OPENING, CLOSING = set("“«「『([（［【"), set("”»」』)]）］】")
-LAST_WORD = re.compile(r"[^\s(（\[«“\"/]*$")
+LAST_WORD = re.compile(r"[^\s(（\[«“\"/'’⺀-鿿＀-￯]*$")
+
+
+def last_word(text: str, end: int) -> str:
+    """The Latin word that ends at `end`, in lower case; longer words than 24 letters don't matter here."""
+    return LAST_WORD.search(text[max(0, end - 24) : end])[0].lower()
+
+
 THAI = re.compile(r"[ก-๛]")
 
 # How Thai sentences open, go on and break, as the script has no final mark.
@@ -124,7 +139,7 @@ def _score(text: str, m: re.Match, n: int) -> float | None:
         if not gap and not close and nxt.isalnum() and nxt <= "⹿" and not nxt.isupper():
             return -6.0
         return 4.0 if opens or nxt.isdigit() or LOW_OPENING.match(text, end) else -4.0
-    word = LAST_WORD.search(text, 0, m.start())[0].lower()
+    word = last_word(text, m.start())
     if word and word[0] in "¿¡'-":
         word = word.lstrip("¿¡'-")
     if not close:
@@ -214,7 +229,7 @@ def spans(raw: str | None) -> list[tuple[int, int]]:
     """The sentences of one text as (start, end), by the best choice of whole spans."""
     if raw is None:
         return []
-    text = raw if raw.isascii() else raw.translate(ONE_FOR_ONE)
+    text = plain(raw)
     n = len(text.rstrip())
     first = len(text) - len(text.lstrip())
     if first >= n:
