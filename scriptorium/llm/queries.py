@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import align, pairs, sentences
+from scriptorium.llm import align, forms, pairs, sentences, tokens
 from scriptorium.llm.tables import translated
 from scriptorium.sources import table
 
@@ -32,6 +32,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_rows(_texts(spark, sf_dir), ["side", "row_id"], "text").distinct()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows of one side whose texts differ but read the same."""
+    return forms.alike(_texts(spark, sf_dir), F.col("side"), F.col("row_id"), F.col("text"))
+
+
+def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of every text, with full case folding, for comparisons that ignore case."""
+    return forms.forms(_texts(spark, sf_dir), ["side", "row_id"], "text", fold_case=True).distinct()
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return tokens.encode(docs, ["doc_id"], "text", f"{tokens.FOLDER}/byte_bpe_50k.tiktoken")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every defective pair of source and translation, or of question and answer."""
     t = translated(spark, sf_dir, "src_text", "src_plain", "tgt_text")
@@ -52,5 +68,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_forms": p5_forms,
+    "p6_ids": p6_ids,
 }
 ORACLES: dict[str, str] = {}
