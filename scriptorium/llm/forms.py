@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.session import checkpointed
+
 #: Ranges of default-ignorable code points (Unicode, DerivedCoreProperties).
 IGNORABLE = (
     (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F),
@@ -108,10 +110,11 @@ def alike(df: DataFrame, side: Column, row_id: Column, text: Column, fold_case:
     """
     slim = df.where(text.isNotNull()).select(side.alias("side"), row_id.cast("bigint").alias("id"), text.alias("text"))
     rows = slim.mapInArrow(_digests(fold_case), "side string, id bigint, key binary, raw binary").where("raw is not null")
-    spellings = rows.groupBy("side", "key", "raw").agg(F.countDistinct("id").alias("n"))
+    rows = checkpointed(rows.distinct())  # it is read three times
+    spellings = rows.groupBy("side", "key", "raw").agg(F.count("*").alias("n"))
     several = spellings.groupBy("side", "key").agg(F.count("*").alias("spellings")).where("spellings > 1").select("side", "key")
     spellings = spellings.join(several, ["side", "key"])
-    held = rows.join(several, ["side", "key"], "left_semi").distinct()
+    held = rows.join(several, ["side", "key"], "left_semi")
     a = spellings.select("side", "key", F.col("raw").alias("raw_a"), F.col("n").alias("n_a"))
     b = spellings.select("side", "key", F.col("raw").alias("raw_b"), F.col("n").alias("n_b"))
     # each pair of spellings once, the rarer one first
