@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import align, forms, pairs, sentences, tokens
+from scriptorium.llm import align, forms, names, pairs, sentences, tokens
 from scriptorium.llm.tables import translated
 from scriptorium.sources import table
 
@@ -48,6 +48,23 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(docs, ["doc_id"], "text", f"{tokens.FOLDER}/byte_bpe_50k.tiktoken")
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    authors = names.author_names(table(spark, sf_dir, "arxiv_en2zh_manifest"), "authors")
+    claims = table(spark, sf_dir, "verifiable_claims").where("claim_type = 'citation'")
+    cited = names.cited_names(claims, "surface_form")
+    return authors.withColumn("cited", F.lit(False)).union(cited.withColumn("cited", F.lit(True)))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings that mean the same person or organisation."""
+    return names.variants(_names(spark, sf_dir))
+
+
+def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with a key of its person or organisation."""
+    return names.entities(_names(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every defective pair of source and translation, or of question and answer."""
     t = translated(spark, sf_dir, "src_text", "src_plain", "tgt_text")
@@ -67,6 +84,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_entities": p3_entities,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_forms": p5_forms,
