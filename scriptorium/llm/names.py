@@ -39,7 +39,7 @@ vicky victoria|vicki victoria|tori victoria|vic victoria victor|alex alexander a
 maggie margaret|meg margaret|peggy margaret|peg margaret|marge margaret|rita margaret|rick richard|rich richard|dick richard|ricky richard|pepe jose|pepito jose
 matt matthew|steve stephen steven|jim james|jimmy james|jack john|johnny john|dave david|tony anthony|ben benjamin|becky rebecca|cathy catherine
 charlie charles|chuck charles|harry henry|hank henry|ron ronald|don donald|ken kenneth|ray raymond|nate nathaniel|abby abigail|mandy amanda|ellie eleanor
-nell eleanor helen|lena helene|ingie ingrid|inga ingrid|olu olumide|ana ananya|farry farid|maria maria|wm william|robt robert|thos thomas|jos joseph|chas charles
+nell eleanor helen|lena helene|ingie ingrid|inga ingrid|olu olumide|ana ananya|farry farid|wm william|robt robert|thos thomas|jos joseph|chas charles
 """
 NICK = {w[0]: w[1:] for w in (line.split() for line in re.split(r"[|\n]", NICKNAMES)) if len(w) > 1}
 # Words of the names of organisations, and short forms of them.
@@ -117,7 +117,7 @@ def parse(name: str, cited: bool) -> tuple[str, str, str, str, str, str | None]
         for raw in re.findall(r"[^\s.,;]+\.?", part):
             bare = raw.rstrip(".")
             w = re.sub(r"[^\w'-]", "", fold(bare))
-            if not w or w in TITLES:
+            if not w or w in TITLES and not (bare.isupper() and mixed and not raw.endswith(".")):
                 continue
             caps = bare.isupper() and mixed
             initial = len(w) == 1 or (len(w) <= 3 and caps and len(bare) <= 3) or bool(re.fullmatch(r"(\w-)+\w", w))
@@ -229,13 +229,14 @@ def similar(words: DataFrame) -> DataFrame:
     return found.where((close == 1) | ((close == 2) & swap)).select("a", "n_a", "b", "n_b").distinct()
 
 
-def canonical(words: DataFrame, least: int = 5) -> DataFrame:
+def canonical(words: DataFrame, least: int = 5, ratio: float = 1.0) -> DataFrame:
     """(word, canon) of the words of `words` (word, n) whose most frequent neighbour is more frequent.
 
-    Words shorter than `least` letters stay as they are. Of equally frequent words the first in order counts
-    as the more frequent.
+    Words shorter than `least` letters stay as they are, and those whose neighbour isn't `ratio` times as
+    frequent. Of equally frequent words the first in order counts as the more frequent.
     """
     near_by = similar(words.where(F.length("word") >= least))
+    near_by = near_by.where(F.col("n_b") >= ratio * F.col("n_a"))
     better = near_by.where((F.col("n_b") > F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a"))))
     top = better.groupBy("a").agg(F.max(F.struct("n_b", F.col("b"))).alias("top"))
     return top.select(F.col("a").alias("word"), F.col("top.b").alias("canon"))
@@ -275,7 +276,9 @@ def entities(names: DataFrame) -> DataFrame:
     fixed = checkpointed(canonical(words))
     s = _replaced(_replaced(s, "family", fixed), "family", fixed)
 
-    # misspelt given names, within a family
+    # misspelt given names: against the given names of all, then within a family
+    given = s.where("given <> ''").groupBy(F.col("given").alias("word")).agg(F.sum("n").alias("n"))
+    s = _replaced(s, "given", canonical(given, ratio=5.0))
     nick = F.create_map(*[F.lit(x) for k, v in NICK.items() for x in (k, " ".join(v))])
     s = s.withColumn("formal", F.when(F.col("given") != "", nick[F.col("given")]))
     s = checkpointed(s)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import align, forms, names, pairs, sentences, tokens
+from scriptorium.llm import align, forms, mix, names, pairs, sentences, tokens
 from scriptorium.llm.tables import translated
+from scriptorium.session import checkpointed
 from scriptorium.sources import table
 
 
@@ -81,6 +82,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defects(t.union(q))
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, lang, tokens) of every document, written once as it is read several times."""
+    docs = table(spark, sf_dir, "documents")
+    return checkpointed(tokens.count_tokens(docs, ["doc_id", "source", "lang"], "text", f"{tokens.FOLDER}/byte_bpe_50k.tiktoken"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every source, with what was there and how often it was used."""
+    return mix.report(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each used document is used."""
+    return mix.uses(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -90,5 +107,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_forms": p5_forms,
     "p6_ids": p6_ids,
+    "p7_mix": p7_mix,
+    "p7_uses": p7_uses,
 }
 ORACLES: dict[str, str] = {}
