@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import align, forms, mix, names, pairs, sentences, tokens
+from scriptorium.llm import align, content, forms, mix, names, pairs, sentences, tokens
 from scriptorium.llm.tables import translated
 from scriptorium.session import checkpointed
 from scriptorium.sources import table
@@ -98,6 +98,21 @@ def p7_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.uses(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document."""
+    return content.scores(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents to be reviewed."""
+    return p8_scores(spark, sf_dir).where(F.col("score") >= content.THRESHOLD).select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents of each source are to be reviewed."""
+    return content.rates(content.scores(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -109,5 +124,8 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_uses": p7_uses,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_rates": p8_rates,
 }
 ORACLES: dict[str, str] = {}
