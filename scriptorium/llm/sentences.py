@@ -238,6 +238,11 @@ def spans(raw: str | None) -> list[tuple[int, int]]:
     if not places:
         return [(first, n)]
     at, depth = _depths(text)
+    if not at and all(p[2] >= 2.0 for p in places) and n - first < LONG:
+        # nothing is quoted and every place is an end: the dynamic program would take them all
+        cuts = [first, *(x for p in places for x in p[:2]), n]
+        if all(cuts[i + 1] - cuts[i] >= SHORT for i in range(0, len(cuts), 2)):
+            return list(zip(cuts[::2], cuts[1::2], strict=True))
     starts = [first, *(p[1] for p in places)]
     ends = [*(p[0] for p in places), n]
     gain = [*(p[2] for p in places), 0.0]
