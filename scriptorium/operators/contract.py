@@ -1,0 +1,264 @@
+"""Documents to units and back: structure stands as tokens in the text while it is translated.
+
+A profile says which elements are units of text, which inline elements become tokens, which are left out and
+which make sections. `units` gives a row a unit, `sections` a row a section, `rebuilt` writes texts back into
+the document, `structure` gives the keyed inline elements by which two versions of a document are compared.
+
+Defined results: a document that can't be parsed gives no rows, and comes back from `rebuilt` as null; blank units are left
+out; a token that a text lost leaves its element out, an unknown token stays as text.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import xml.etree.ElementTree as ET
+from collections import Counter
+from collections.abc import Iterator
+from copy import deepcopy
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from scriptorium.functions.text import SPECIAL
+
+TOKEN = re.compile(r"\{\{PT_[A-Za-z]+_\d+\}\}")
+WORDS = re.compile(r"[㐀-鿿]|[^\W\d_]{3,}")
+
+
+@dataclass(frozen=True)
+class Profile:
+    """A dialect of documents, by local names of elements."""
+
+    units: tuple[str, ...]
+    inline: tuple[str, ...] = ()
+    skip: tuple[str, ...] = ()
+    sections: tuple[str, ...] = ()
+    title: str = "title"
+    cells: tuple[str, ...] = ()
+    key_attributes: tuple[str, ...] = ("id", "key", "href", "rid", "idref")
+
+
+LATEXML = Profile(("p", "title", "caption"), ("Math", "cite", "ref", "equation", "graphics", "note"), ("tag", "bibliography"), ("part", "chapter", "section", "subsection", "subsubsection", "appendix"))
+JATS = Profile(("p", "title", "article-title", "td", "th", "list-item"), ("xref", "inline-formula", "disp-formula", "ext-link", "uri", "email", "inline-graphic", "label"), ("ref-list",), ("sec", "app"), "title", ("td", "th"))
+HTML = Profile(("p", "h1", "h2", "h3", "li", "title", "td"), ("a", "br", "img", "code"), ("script", "style", "nav", "footer"), ("section", "article"), "h1", ("td",))
+PROFILES = {"latexml": LATEXML, "jats": JATS, "html": HTML}
+
+
+def local(e: ET.Element) -> str:
+    """The name of an element without its namespace; "" for comments and instructions."""
+    return e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
+
+
+def walk(root: ET.Element) -> Iterator[tuple[ET.Element, str, tuple[ET.Element, ...]]]:
+    """Every element in document order with its path and its ancestors."""
+
+    def below(e: ET.Element, path: str, over: tuple[ET.Element, ...]) -> Iterator:
+        yield e, path, over
+        names = Counter(local(c) for c in e)
+        met: Counter = Counter()
+        for c in e:
+            name = local(c)
+            if name:
+                met[name] += 1
+                step = f"/{name}[{met[name]}]" if names[name] > 1 else f"/{name}"
+                yield from below(c, path + step, (*over, e))
+
+    yield from below(root, "/" + local(root), ())
+
+
+def _outer(e: ET.Element) -> str:
+    c = deepcopy(e)
+    c.tail = None
+    return ET.tostring(c, encoding="unicode")
+
+
+def tokenized(e: ET.Element, profile: Profile) -> tuple[str, dict[str, str]]:
+    """The text of a unit with its inline elements as tokens, and what the tokens stand for."""
+    out: list[str] = []
+    held: dict[str, str] = {}
+
+    def text_of(x: ET.Element) -> None:
+        out.append(x.text or "")
+        for c in x:
+            name = local(c)
+            if name in profile.inline:
+                token = f"{{{{PT_{re.sub(r'[^A-Za-z]', '', name).upper()}_{len(held) + 1}}}}}"
+                held[token] = _outer(c)
+                out.append(token)
+            elif name and name not in profile.skip:
+                text_of(c)
+            out.append(c.tail or "")
+
+    text_of(e)
+    return "".join(out).strip(), held
+
+
+def prose(text: str) -> bool:
+    """Whether a cell's text is worth a unit."""
+    if re.search(r"[㐀-鿿]", text):
+        return True
+    return bool(WORDS.search(text)) and sum(c.isalpha() for c in text) > sum(c.isdigit() for c in text)
+
+
+def find_units(root: ET.Element, profile: Profile) -> Iterator[tuple[ET.Element, str, str]]:
+    """Leaf units with their path and kind: no unit below them, no unit, skipped or inline element above."""
+    stops = {*profile.skip, *profile.inline}
+    for e, path, over in walk(root):
+        name = local(e)
+        if name not in profile.units or any(local(o) in stops for o in over):
+            continue
+        if any(local(d) in profile.units for d in e.iter() if d is not e):
+            continue
+        parent = local(over[-1]) if over else ""
+        kind = "section_heading" if name == profile.title and parent in profile.sections else name
+        yield e, path, kind
+
+
+def _parse(xml: str | None) -> ET.Element | None:
+    try:
+        return ET.fromstring(xml) if xml else None
+    except ET.ParseError:
+        return None
+
+
+def _units(xml: str | None, profile: Profile) -> list[tuple]:
+    root, out = _parse(xml), []
+    if root is None:
+        return out
+    for e, path, kind in find_units(root, profile):
+        text, held = tokenized(e, profile)
+        for raw, token in SPECIAL:
+            text = text.replace(raw, token)
+        plain = TOKEN.sub("", text)
+        for raw, token in SPECIAL:
+            plain = plain.replace(token, raw)
+        plain = " ".join(plain.split())
+        if not text or kind in profile.cells and not prose(plain):
+            continue
+        out.append((len(out), kind, path, text, plain, held, len(plain)))
+    return out
+
+
+def _sections(xml: str | None, profile: Profile) -> list[tuple]:
+    root, out = _parse(xml), []
+    if root is None:
+        return out
+    met: Counter = Counter()
+    paths: dict[int, str] = {}
+    for e, path, over in walk(root):
+        if local(e) not in profile.sections:
+            continue
+        above = [o for o in over if local(o) in profile.sections]
+        parent = paths[id(above[-1])] if above else None
+        paths[id(e)] = path
+        met[parent] += 1
+        title = next((c for c in e if local(c) == profile.title), None)
+        heading = None if title is None else " ".join("".join("[…] " if local(x) in profile.inline else (x.text or "") + " " for x in title.iter()).split())
+        out.append((path, parent, len(above), met[parent], heading))
+    return out
+
+
+def _rebuilt(xml: str | None, texts: dict[str, str], profile: Profile) -> str | None:
+    root = _parse(xml)
+    if root is None:
+        return None
+    for e, path, _ in sorted(find_units(root, profile), key=lambda u: -u[1].count("/")):
+        if path not in texts or texts[path] is None:
+            continue
+        _, held = tokenized(e, profile)
+        text = texts[path]
+        for raw, token in SPECIAL:
+            text = text.replace(token, raw)
+        tail, attributes = e.tail, dict(e.attrib)
+        e.clear()
+        e.tail = tail
+        e.attrib.update(attributes)
+        last = None
+        for piece in re.split(f"({TOKEN.pattern})", text):
+            if piece in held:
+                last = ET.fromstring(held.pop(piece))
+                e.append(last)
+            elif last is None:
+                e.text = (e.text or "") + piece
+            else:
+                last.tail = (last.tail or "") + piece
+    return ET.tostring(root, encoding="unicode")
+
+
+def element_key(e: ET.Element, profile: Profile) -> str:
+    """What an inline element is compared by: a key attribute, or a digest of its content without ids."""
+    for a in profile.key_attributes[1:]:
+        for k, v in e.attrib.items():
+            if k.rpartition("}")[2] == a:
+                return f"{local(e)}:{a}={v}"
+    bare = deepcopy(e)
+    bare.tail = None
+    for x in bare.iter():
+        for k in [k for k in x.attrib if k.rpartition("}")[2] == "id"]:
+            del x.attrib[k]
+    return f"{local(e)}:{hashlib.md5(ET.canonicalize(ET.tostring(bare, encoding='unicode'), strip_text=True).encode()).hexdigest()}"
+
+
+def _structure(xml: str | None, profile: Profile) -> list[tuple]:
+    root, out = _parse(xml), []
+    if root is None:
+        return out
+    for e, path, over in walk(root):
+        if local(e) in profile.inline and not any(local(o) in profile.inline for o in over):
+            out.append((len(out), local(e), path, element_key(e, profile)))
+    return out
+
+
+def _each(docs: DataFrame, doc_id: str, xml: str, profile: str, work, columns: str) -> DataFrame:
+    p = PROFILES[profile]
+    names = [c.split()[0] for c in re.split(r",\s*(?![^<]*>)", columns)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(k, *r) for k, x in zip(f[doc_id], f[xml], strict=True) for r in work(x, p)]
+            yield pd.DataFrame(rows, columns=[doc_id, *names])
+
+    return docs.select(doc_id, xml).mapInPandas(run, f"{doc_id} {dict(docs.dtypes)[doc_id]}, {columns}")
+
+
+def units(docs: DataFrame, doc_id: str, xml: str, profile: str) -> DataFrame:
+    """A row for each unit of text, in document order."""
+    return _each(docs, doc_id, xml, profile, _units, "ord int, kind string, xpath string, src_text string, src_plain string, placeholders map<string,string>, char_count int")
+
+
+def sections(docs: DataFrame, doc_id: str, xml: str, profile: str) -> DataFrame:
+    """A row for each section, with its parent's path, depth, place among its siblings, and heading."""
+    return _each(docs, doc_id, xml, profile, _sections, "xpath string, parent_xpath string, depth int, ord int, heading string")
+
+
+def structure(docs: DataFrame, doc_id: str, xml: str, profile: str) -> DataFrame:
+    """A row for each outermost inline element with the key it is compared by."""
+    return _each(docs, doc_id, xml, profile, _structure, "pos int, tag string, xpath string, key string")
+
+
+def rebuilt(docs: DataFrame, texts: DataFrame, doc_id: str, xml: str, profile: str) -> DataFrame:
+    """(doc_id, xml) with `texts` (doc_id, xpath, text) in place of the units' own."""
+    p = PROFILES[profile]
+    by_doc = texts.where(F.col("text").isNotNull()).groupBy(doc_id).agg(F.map_from_entries(F.collect_list(F.struct("xpath", "text"))).alias("_texts"))
+    both = docs.select(doc_id, xml).join(by_doc, doc_id, "left")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = [_rebuilt(x, dict(t) if t is not None else {}, p) for x, t in zip(f[xml], f["_texts"], strict=True)]
+            yield pd.DataFrame({doc_id: f[doc_id], "xml": out})
+
+    return both.mapInPandas(run, f"{doc_id} {dict(docs.dtypes)[doc_id]}, xml string")
+
+
+def survival(source: DataFrame, target: DataFrame, doc_id: str) -> DataFrame:
+    """For each document, the share of the source's keyed elements that the target keeps, repeated ones counted.
+
+    A document without elements keeps all: 100.
+    """
+    s = source.groupBy(doc_id, "key").agg(F.count("*").alias("ns"))
+    t = target.groupBy(doc_id, "key").agg(F.count("*").alias("nt"))
+    both = s.join(t, [doc_id, "key"], "left")
+    return both.groupBy(doc_id).agg(F.sum("ns").alias("elements"), F.sum(F.least("ns", F.coalesce("nt", F.lit(0)))).alias("kept")).withColumn("kept_percent", F.coalesce(F.try_divide(100.0 * F.col("kept"), F.col("elements")), F.lit(100.0)))

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from scriptorium.plans import corpus, scores, texts
+
+QUERIES = {**scores.QUERIES, **texts.QUERIES, **corpus.QUERIES}
+ORACLES = {**scores.ORACLES, **texts.ORACLES, **corpus.ORACLES}
