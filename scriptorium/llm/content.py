@@ -17,6 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -117,6 +118,7 @@ START = {
 #: The least and most that one voter's vote may say, in nats; the start is doubtful, its sign isn't.
 BOUNDS = {k: (0.5, 8.0) for k in FOR} | {k: (-7.0, -2.5) for k in AGAINST} | {k: (0.3, 2.5) for k in ("group", "adjective", "hidden")} | {"noun": (2.0, 6.0), "directed": (2.0, 6.0)} | {k: (5.0, 9.0) for k in ("threat", "sexual")} | {"phrase": (4.0, 8.0)}
 
+HIDDEN = VOTERS.index("hidden")
 COMPILED = {k: re.compile(v) for k, v in (FOR | AGAINST).items() if v}
 NOUN_SET = frozenset(NOUNS)
 WORD = re.compile(r"[^\W\d_]+")
@@ -129,6 +131,55 @@ WIDE = re.compile(r"[㐀-鿿ぁ-んァ-ヺー]+|[ก-๛]+")
 TEN_RUN = re.compile(r"(\w)\1\1+")
 
 
+def _needed(seq) -> set[str] | None:
+    """Strings of which every match of a parsed pattern has one; None if no such set is seen."""
+    best: set[str] | None = None
+    run = ""
+
+    def offer(found: set[str] | None) -> None:
+        nonlocal best
+        if found and (best is None or min(map(len, found)) > min(map(len, best))):
+            best = found
+
+    for op, arg in [*seq, (None, None)]:
+        if op is re._constants.LITERAL:
+            run += chr(arg)
+            continue
+        if run:
+            offer({run})
+            run = ""
+        if op is re._constants.SUBPATTERN:
+            offer(_needed(arg[3]))
+        elif op is re._constants.BRANCH:
+            parts = [_needed(x) for x in arg[1]]
+            offer(set().union(*parts) if all(parts) else None)
+        elif op in (re._constants.MAX_REPEAT, re._constants.MIN_REPEAT) and arg[0] >= 1:
+            offer(_needed(arg[2]))
+    return best
+
+
+def _triggers() -> tuple[ahocorasick.Automaton, int]:
+    """An automaton of strings that a voter needs, with the voters as bits, and the voters that need none."""
+    held: dict[str, int] = {}
+    always = 0
+    for i, v in enumerate(VOTERS):
+        if v == "hidden":
+            continue
+        found = set(NOUNS) if v == "noun" else _needed(re._parser.parse(COMPILED[v].pattern))
+        if not found:
+            always |= 1 << i
+        for w in found or ():
+            held[w] = held.get(w, 0) | 1 << i
+    a = ahocorasick.Automaton()
+    for w, bits in held.items():
+        a.add_word(w, bits)
+    a.make_automaton()
+    return a, always
+
+
+TRIGGERS, ALWAYS = _triggers()
+
+
 def _squeeze(w: str) -> str:
     return LETTERS.sub(r"\1", w)
 
@@ -192,15 +243,13 @@ def undo(text: str) -> tuple[str, bool]:
 def votes(text: str) -> tuple[int, str]:
     """The voters that speak, as bits, and the text they looked at."""
     t, hidden = undo(text)
-    bits = 0
-    for i, k in enumerate(VOTERS):
-        if k == "hidden":
-            hit = hidden
-        elif k == "noun":
-            hit = any(w in NOUN_SET for w in WORD.findall(t))
-        else:
-            hit = COMPILED[k].search(t) is not None
-        bits |= hit << i
+    bits, ask = (1 << HIDDEN if hidden else 0), ALWAYS
+    for _, voters in TRIGGERS.iter(t):
+        ask |= voters
+    if ask:
+        for i, v in enumerate(VOTERS):
+            if ask >> i & 1 and (any(w in NOUN_SET for w in WORD.findall(t)) if v == "noun" else COMPILED[v].search(t)):
+                bits |= 1 << i
     return bits, t
 
 
