@@ -52,7 +52,8 @@ def plain(text: str) -> str:
 
 #: A final mark, the closing marks after it (French ones stand after a space), and where the text goes on.
 MARK = re.compile(
-    r"(?P<mark>[.!?…]+|[。！？．｡]+)(?P<close>(?: ?»|[" + CLOSERS + r"])*)(?P<gap>\s*)|(?P<line>\s*\n\s*)"
+    # a full stop before a figure or a small letter ends nothing, save before openings like "p-values"
+    r"(?P<mark>(?:\.(?!\d|[a-z](?!-))|[!?…])+|[。！？．｡]+)(?P<close>(?: ?»|[" + CLOSERS + r"])*)(?P<gap>\s*)|(?P<line>\s*\n\s*)"
 )
 QUOTE = re.compile(r"[\"“”«»「」『』()\[\]（）［］【】]")
 OPENING, CLOSING = set("“«「『([（［【"), set("”»」』)]）］】")
