@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import align, content, forms, mix, names, pairs, sentences, tokens
-from scriptorium.llm.tables import translated
+from scriptorium.llm.tables import spread, translated
 from scriptorium.session import checkpointed
 from scriptorium.sources import table
 
@@ -19,7 +19,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tgt = table(spark, sf_dir, "translations").select(
         F.lit("tgt").alias("side"), F.col("id").alias("row_id"), F.col("tgt_plain").alias("text")
     )
-    return src.union(tgt)
+    return spread(src.union(tgt))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return tokens.encode(docs, ["doc_id"], "text", f"{tokens.FOLDER}/byte_bpe_50k.tiktoken")
 
 
@@ -84,7 +84,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, lang, tokens) of every document, written once as it is read several times."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return checkpointed(tokens.count_tokens(docs, ["doc_id", "source", "lang"], "text", f"{tokens.FOLDER}/byte_bpe_50k.tiktoken"))
 
 
@@ -100,7 +100,7 @@ def p7_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score for every document."""
-    return content.scores(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    return content.scores(spread(table(spark, sf_dir, "documents")), ["doc_id"], "text")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents of each source are to be reviewed."""
-    return content.rates(content.scores(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text"))
+    return content.rates(content.scores(spread(table(spark, sf_dir, "documents")), ["doc_id", "source"], "text"))
 
 
 QUERIES = {

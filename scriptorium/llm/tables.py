@@ -18,6 +18,19 @@ def joined(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
     return big.join(small, on)
 
 
+def width(spark: SparkSession) -> int:
+    """In how many parts work in Python is cut at least: small shuffles would be joined to a few large tasks else."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt out anew if it comes in fewer parts than there are cores; a large table stays as it is read."""
+    spark = df.sparkSession
+    if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(width(spark))
+
+
 def translated(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Translations with src_text or src_plain of their unit and the job's language.
 
@@ -29,4 +42,6 @@ def translated(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     t = t.select(F.col("id").alias("row_id"), "job_id", "unit_id", *tgt)
     u = table(spark, sf_dir, "translation_units").select(F.col("id").alias("unit_id"), *src)
     j = table(spark, sf_dir, "translation_jobs").select(F.col("id").alias("job_id"), F.col("language").alias("lang"))
-    return joined(t, j, "job_id").join(u, "unit_id")
+    # both sides are dealt out by the join's key, so the join adds no shuffle, and into enough parts
+    n = width(spark)
+    return joined(t, j, "job_id").repartition(n, "unit_id").join(u.repartition(n, "unit_id"), "unit_id")
