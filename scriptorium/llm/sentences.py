@@ -60,9 +60,17 @@ OPENING, CLOSING = set("“«「『([（［【"), set("”»」』)]）］】")
 LAST_WORD = re.compile(r"[^\s(（\[«“\"/'’⺀-鿿＀-￯]*$")
 
 
+UNSEEN = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
+
+
 def last_word(text: str, end: int) -> str:
     """The Latin word that ends at `end`, in lower case; longer words than 24 letters don't matter here."""
-    return LAST_WORD.search(text[max(0, end - 24) : end])[0].lower()
+    near = text[max(0, end - 24) : end]
+    if not near.isascii():
+        near = UNSEEN.sub("", near)
+    word = LAST_WORD.search(near)[0].lower()
+    head, _, tail = word.rpartition(".")
+    return tail if len(head) > 3 and tail.isalpha() else word  # "twice.No": the space is missing
 
 
 THAI = re.compile(r"[ก-๛]")
@@ -121,6 +129,9 @@ def _score(text: str, m: re.Match, n: int) -> float | None:
     nxt = text[end] if end < n else ""
     if not nxt:
         return None
+    if nxt > "\x7f" and UNSEEN.match(nxt):  # look behind characters that show nothing
+        seen = UNSEEN.sub("", text[end : end + 12]).lstrip() or " "
+        gap, nxt = gap or " " * (text[end : end + 12].lstrip("\u200b\u200c\u200d\u2060\ufeff\u00ad")[:1].isspace()), seen[0]
     if '"' in close and not gap and text.count('"', 0, m.end("mark") + close.index('"')) % 2 == 0:
         # a straight quote that opens the next sentence, with the space before it missing
         nxt, close = '"', close[: close.index('"')]
@@ -179,6 +190,8 @@ def _thai_score(text: str, start: int, at: int, end: int) -> float:
         if left.endswith(link):
             return -6.0
     c, d = left[-1:], right[:1]
+    if c in ":,;：":
+        return -6.0
     if THAI_LINK_AHEAD.match(right):
         return 5.0
     if d == '"':

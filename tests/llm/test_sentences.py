@@ -62,3 +62,13 @@ def test_rows(spark):
     got = sorted(map(tuple, sentence_rows(df, ["id"], "t").distinct().collect()))
     assert got == [(1, 0, 4), (1, 5, 9), (4, 0, 5)]
     assert sentence_rows(df.limit(0), ["id"], "t").count() == 0
+
+
+@pytest.mark.parametrize("text", ["It needs 13 GB vs​. 428 MB for it.", "At 9 ‍a.m. o‍n St. Olan Road, hosted by ­Prof. X, it met.", "出人意料的是，­F. Kelehenova指出。"])
+def test_unseen_characters(text):
+    assert cut(text) == [text]
+
+
+def test_missing_space_before_an_abbreviation():
+    assert cut("It fell at Koltbank.No. 58 in the list is X.") == ["It fell at Koltbank.", "No. 58 in the list is X."]
+    assert cut("FokeloAlign: การศึกษาอัตราภาษีและชั้นขอบเขต") == ["FokeloAlign: การศึกษาอัตราภาษีและชั้นขอบเขต"]
