@@ -36,8 +36,8 @@ WIDE = {chr(c): chr(c - 0xFEE0) for c in range(0xFF10, 0xFF5B) if chr(c - 0xFEE0
 # Cyrillic and Greek letters that look like Latin ones, one for one.
 ALIKE = dict(
     zip(
-        "АВЕЅІЈКМНОРСТХУаеѕіјорсухԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧο",
-        "ABESIJKMHOPCTXYaesijopcyxdhqwABEZHIKMNOPTYXo",
+        "АВЕЅІЈКМНОРСТХУаеѕіјорсухԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧον",
+        "ABESIJKMHOPCTXYaesijopcyxdhqwABEZHIKMNOPTYXov",
     )
 )
 ONE_FOR_ONE = str.maketrans({**SOFT, **WIDE, **ALIKE})
@@ -57,7 +57,7 @@ MARK = re.compile(
 )
 QUOTE = re.compile(r"[\"“”«»「」『』()\[\]（）［］【】]")
 OPENING, CLOSING = set("“«「『([（［【"), set("”»」』)]）］】")
-LAST_WORD = re.compile(r"[^\s(（\[«“\"/'’⺀-鿿＀-￯]*$")
+LAST_WORD = re.compile(r"[^\s()（\[\]«»“”\"/'’!?⺀-鿿＀-￯]*$")
 
 
 UNSEEN = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
@@ -68,7 +68,7 @@ def last_word(text: str, end: int) -> str:
     near = text[max(0, end - 24) : end]
     if not near.isascii():
         near = UNSEEN.sub("", near)
-    word = LAST_WORD.search(near)[0].lower()
+    word = LAST_WORD.search(near)[0].lower().lstrip(".")
     head, _, tail = word.rpartition(".")
     return tail if len(head) > 3 and tail.isalpha() else word  # "twice.No": the space is missing
 
@@ -173,6 +173,8 @@ def _score(text: str, m: re.Match, n: int) -> float | None:
             if word != "etc" and re.match(r"(?i)(and|on|y|del|et|or|in)\b", text[end : end + 4]):
                 return -5.0
         return 3.0 if opens or LOW_OPENING.match(text, end) else -5.0
+    if flat and close and re.match(r"(?:and|y|et)\b", text[end : end + 4]):
+        return -5.0
     if opens or LOW_OPENING.match(text, end):
         return 4.0
     if nxt.isdigit():
