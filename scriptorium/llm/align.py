@@ -6,8 +6,8 @@ stand in both texts); jump costs favour going on, allow staying (a split) and pe
 sentences). Viterbi decoding gives the pairs.
 
 The lexicon is a corpus statistic: Dice's coefficient of words (Han and kana: pairs of characters, Thai:
-triples) over all text pairs of moderate length that have as many sentences on either side, taken in order.
-Its size is bounded by WIDTH features a
+triples) over all text pairs, whatever their length and numbers of sentences; `counterparts` says which sentences
+count as one another's. Its size is bounded by WIDTH features a
 language and side, the most frequent ones; sentences made of rarer features are still aligned by anchors and
 order.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -35,6 +36,7 @@ from scriptorium.session import checkpointed
 
 SPACE = 1 << 16  # hashed features
 WIDTH = 4096  # features kept a language and side, the most frequent ones
+CELLS = 2_000_000  # counts a task holds for a pair of languages before they are added up
 LEAST_DICE = 0.03  # a weaker association is none
 NULL = 0.30  # an emission below this is the null state's
 MERGE, STAY, JUMP, BACK = 0.18, 0.12, 0.08, 0.14
@@ -181,9 +183,79 @@ class _Sides(dict):
         return s
 
 
+def _runs(items: list[int], bounds: list[int]) -> list[list[int]]:
+    """`items`, ascending, cut at `bounds`: as many runs as there are bounds and one more, maybe empty."""
+    out, k = [], 0
+    for b in bounds:
+        at = k
+        while k < len(items) and items[k] < b:
+            k += 1
+        out.append(items[at:k])
+    return [*out, items[k:]]
+
+
+def counterparts(a: Side, b: Side) -> list[tuple[list[int], list[int]]]:
+    """Groups of source and target sentences that the lexicon counts together; every sentence is in one at least.
+
+    Sentences that share anchors with one another more than with any other are fixed pairs, moved ones too. The
+    rest lies between fixed pairs that go in order: as many on either side are taken in order, else in runs in
+    proportion; where one side has none, the sentences join the fixed pairs around them (splits and merges).
+    """
+    m, n = len(a.spans), len(b.spans)
+    if not m or not n:
+        return []
+    if m == 1 or n == 1:
+        return [([*range(m)], [*range(n)])]
+    where: dict[str, list[int]] = defaultdict(list)
+    for i, own in enumerate(a.parts[1]):
+        for x in own:
+            where[x].append(i)
+    names, likeness = a.names, {}
+    for j, own in enumerate(b.parts[1]):
+        for x in own:
+            if 2 * len(held := where.get(x, ())) <= m:  # one of most sentences tells none
+                for i in held:
+                    likeness[i, j] = likeness.get((i, j), 0.0) + names[x]
+    best_i, best_j = [0.0] * m, [0.0] * n
+    for (i, j), w in likeness.items():
+        best_i[i], best_j[j] = max(best_i[i], w), max(best_j[j], w)
+    best = [k for k, w in likeness.items() if w >= best_i[k[0]] - 1e-9 and w >= best_j[k[1]] - 1e-9]
+    n_i, n_j = [0] * m, [0] * n
+    for i, j in best:
+        n_i[i], n_j[j] = n_i[i] + 1, n_j[j] + 1
+    fixed = sorted([k for k in best if n_i[k[0]] == n_j[k[1]] == 1], key=lambda k: k[1])
+    out = [([i], [j]) for i, j in fixed]
+    # the longest chain of fixed pairs in order bounds the rest
+    ends, before, at = [], {}, []
+    for k in fixed:
+        p = bisect_left(ends, k[0])
+        before[k] = at[p - 1] if p else None
+        ends[p:], at[p:] = [k[0], *ends[p + 1 :]], [k, *at[p + 1 :]]
+    chain, k = [], at[-1] if at else None
+    while k is not None:
+        chain.append(k)
+        k = before[k]
+    chain.reverse()
+    held_i, held_j = {i for i, _ in fixed}, {j for _, j in fixed}
+    left_i = _runs([i for i in range(m) if i not in held_i], [i for i, _ in chain])
+    left_j = _runs([j for j in range(n) if j not in held_j], [j for _, j in chain])
+    for g, (s, t) in enumerate(zip(left_i, left_j, strict=True)):
+        if s and t:
+            k = min(len(s), len(t))
+            out += [(s[x * len(s) // k : (x + 1) * len(s) // k], t[x * len(t) // k : (x + 1) * len(t) // k]) for x in range(k)]
+        elif s or t:
+            near = chain[max(g - 1, 0) : g + 1]
+            out.append((s or [i for i, _ in near] or [*range(m)], t or [j for _, j in near] or [*range(n)]))
+    return out
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often features stand in both sentences of a pair; -1 on one side counts the other side alone."""
+    """How often features stand on both sides of a group; -1 on one side counts the other side alone.
+
+    Sums so far are given away whenever they pass CELLS, so memory doesn't grow with the texts.
+    """
     held: dict[str, list[np.ndarray]] = defaultdict(list)
+    size: dict[str, int] = defaultdict(int)
     sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     sides = _Sides()
 
@@ -194,37 +266,43 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, inverse = np.unique(np.concatenate([k0, keys]), return_inverse=True)
             n = np.bincount(inverse, np.concatenate([n0, n])).astype(np.int64)
         sums[p] = (keys, n)
-        held[p] = []
+        held[p], size[p] = [], 0
+
+    def given() -> Iterator[pa.RecordBatch]:
+        for p, (keys, n) in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p] * len(keys)), pa.array(((keys >> 20) - 1).astype(np.int32)), pa.array(((keys & 0xFFFFF) - 1).astype(np.int32)), pa.array(n.astype(np.int64))],
+                names=["pair", "s", "t", "n"],
+            )
+        sums.clear()
 
     for batch in batches:
         for src, tgt in zip(batch.column("src").to_pylist(), batch.column("tgt").to_pylist(), strict=True):
             a, b = sides[src], Side(tgt)
-            if len(a.spans) != len(b.spans) or not a.lang or not b.lang or a.lang == b.lang:
+            if not a.lang or not b.lang or a.lang == b.lang:
                 continue
             p = f"{a.lang}>{b.lang}"
-            for x, y in zip(a.parts[0], b.parts[0], strict=True):
-                s, t = np.array([-1, *{HASH[w] for w in x}], np.int64), np.array([-1, *{HASH[w] for w in y}], np.int64)
-                held[p].append((((s + 1)[:, None] << 20) | (t + 1)[None, :]).ravel())
-            if len(held[p]) >= 4000:
-                press(p)
+            for x, y in counterparts(a, b):
+                u = np.array([-1, *{HASH[w] for i in x for w in a.parts[0][i]}], np.int64)
+                v = np.array([-1, *{HASH[w] for j in y for w in b.parts[0][j]}], np.int64)
+                held[p].append((((u + 1)[:, None] << 20) | (v + 1)[None, :]).ravel())
+                size[p] += len(u) * len(v)
+                if size[p] >= CELLS:
+                    press(p)
+        if sum(len(keys) for keys, _ in sums.values()) >= CELLS:
+            yield from given()
     for p in list(held):
         if held[p]:
             press(p)
-    for p, (keys, n) in sums.items():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([p] * len(keys)), pa.array(((keys >> 20) - 1).astype(np.int32)), pa.array(((keys & 0xFFFFF) - 1).astype(np.int32)), pa.array(n.astype(np.int64))],
-            names=["pair", "s", "t", "n"],
-        )
+    yield from given()
 
 
-def lexicon(texts: DataFrame, longest: int = 200) -> dict[str, tuple]:
-    """Dice tables by language pair, from all pairs of `texts` (src, tgt) that have as many sentences either side.
+def lexicon(texts: DataFrame) -> dict[str, tuple]:
+    """Dice tables by language pair, from all pairs of `texts` (src, tgt).
 
-    Pairs longer than `longest` code points aren't counted, as order tells less in them. What reaches the
-    driver is bounded by the hashed features, and by WIDTH of them a side in the tables.
+    What reaches the driver is bounded by the hashed features, and by WIDTH of them a side in the tables.
     """
-    short = texts.where((F.length("src") <= longest) & (F.length("tgt") <= longest)).select("src", "tgt")
-    n = short.mapInArrow(_counts, "pair string, s int, t int, n bigint").groupBy("pair", "s", "t").agg(F.sum("n").alias("n"))
+    n = texts.select("src", "tgt").mapInArrow(_counts, "pair string, s int, t int, n bigint").groupBy("pair", "s", "t").agg(F.sum("n").alias("n"))
     n = checkpointed(n)
     most = Window.partitionBy("pair").orderBy(F.desc("n"), "f")
     ns = n.where("t < 0 and s >= 0").select("pair", F.col("s").alias("f"), "n").withColumn("r", F.row_number().over(most)).where(F.col("r") <= WIDTH)

@@ -53,3 +53,29 @@ def test_operator(spark):
 def test_without_lexicon():
     a, b = align.Side("One thing 12. Another thing 55. A third."), align.Side("第一个12。另一个55。第三个。")
     assert [(x, y) for x, y in align.align(a, b, {})][:2] == [(0, 0), (14, 6)]
+
+
+def test_counterparts():
+    cut = lambda s, t: align.counterparts(align.Side(s), align.Side(t))
+    a, b, c = "Noise of 12 samples falls.", "Readings of 55 drift.", "Prices of 71 rise."
+    x, y, z = "Le bruit de 12 essais tombe.", "Les lectures de 55 dérivent.", "Les tarifs de 71 montent."
+    assert sorted(cut(f"{a} {b} {c}", f"{x} {z} {y}")) == [([0], [0]), ([1], [2]), ([2], [1])]
+    for s, t in ((f"{a} {b} {c}", f"{x} {z}"), ("One. Two. Three. Four. Five.", "Un. Deux. Trois."), (f"{a} Nothing else. {b}", f"{x} {y}")):
+        got = cut(s, t)
+        assert {i for g, _ in got for i in g} == set(range(len(align.Side(s).spans)))
+        assert {j for _, g in got for j in g} == set(range(len(align.Side(t).spans)))
+
+
+def test_lexicon_of_all_texts(spark):
+    """Words that stand only in long texts, or only where the numbers of sentences differ, are in the lexicon."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(80):
+        s, t = zip(*[sentence(rng) for _ in range(6)], strict=True)
+        n = rng.randrange(10, 9999)
+        s, t = f"{' '.join(s)} The walrus sleeps after {n} days of rain.", f"{' '.join(t)} Le morse dort après {n} jours sous la pluie."
+        rows.append((s, t if k % 2 else f"{t} Rien de plus dans ces travaux."))
+    table = align.lexicon(spark.createDataFrame(rows, "src string, tgt string"))["en>fr"]
+    assert table[0]["walrus"] != table[0].none and table[1]["morse"] != table[1].none
+    e = align._emissions(align.Side("The noise falls. The walrus sleeps after days of rain."), align.Side("Le morse dort après jours sous la pluie."), "en>fr", table)
+    assert e[1, 0] > 0.6 and e[0, 0] < align.NULL
