@@ -7,9 +7,8 @@ sentences). Viterbi decoding gives the pairs.
 
 The lexicon is a corpus statistic: Dice's coefficient of words (Han and kana: pairs of characters, Thai:
 triples) over all text pairs, whatever their length and numbers of sentences; `counterparts` says which sentences
-count as one another's. Its size is bounded by WIDTH features a
-language and side, the most frequent ones; sentences made of rarer features are still aligned by anchors and
-order.
+count as one another's. Every feature
+counts: cells of the DENSE most frequent ones are read from a table, those of rarer ones from a sorted list.
 
 Defined results: null and blank texts, refusals and targets in the source's own language give no pair, save
 texts that are rightly the same in both languages; repeated rows of a translation give their pairs once.
@@ -26,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.lang import detect
@@ -35,7 +34,7 @@ from scriptorium.llm.sentences import plain, spans
 from scriptorium.session import checkpointed
 
 SPACE = 1 << 16  # hashed features
-WIDTH = 4096  # features kept a language and side, the most frequent ones
+DENSE = 2048  # the most frequent features a language and side, whose cells stand in a table; those of the rest are listed
 CELLS = 2_000_000  # counts a task holds for a pair of languages before they are added up
 LEAST_DICE = 0.03  # a weaker association is none
 NULL = 0.30  # an emission below this is the null state's
@@ -157,19 +156,60 @@ class Side:
             at.append(len(out))
         return np.array(out), at
 
-    def rows(self, pair: str, table: tuple) -> tuple[np.ndarray, list[int]]:
-        """As a source: where each feature's row of the pair's table begins, as a column, and where sentences begin."""
+    def rows(self, pair: str, table: tuple) -> tuple[np.ndarray, list[int], np.ndarray]:
+        """As a source: where each feature's row of the dense table begins, as a column; where sentences begin; places."""
         got = self._ids.get(pair)
         if got is None:
             ids, at = self._numbered(table[0])
-            got = self._ids[pair] = ((ids * (table[1].none + 1))[:, None], at)
+            got = self._ids[pair] = (table[2].rows(ids), at, ids)
         return got
 
-    def cols(self, pair: str, table: tuple) -> tuple[np.ndarray, list[int]]:
-        """As a target: each feature's place in a row, and where sentences begin; each has one feature at least."""
+    def cols(self, pair: str, table: tuple) -> tuple[np.ndarray, list[int], np.ndarray]:
+        """As a target: each feature's place in such a row; where sentences begin; places. A sentence has one feature at least."""
         got = self._ids.get(f"to {pair}")
         if got is None:
-            got = self._ids[f"to {pair}"] = self._numbered(table[1])
+            ids, at = self._numbered(table[1])
+            got = self._ids[f"to {pair}"] = (table[2].cols(ids), at, ids)
+        return got
+
+
+class Cells:
+    """Dice of every source and target feature by their places, which go from the most frequent on.
+
+    Cells of the most frequent features on both sides lie in a dense table, rows end to end, as one lookup by
+    position is the quickest; all others are found by bisection, so no feature is left out.
+    """
+
+    def __init__(self, s: np.ndarray, t: np.ndarray, dice: np.ndarray, n_s: int, n_t: int) -> None:
+        self.width, self.top_s, self.top_t = n_t + 1, min(n_s, DENSE), min(n_t, DENSE)
+        self.n_s, self.n_t = n_s, n_t
+        inside = (s < self.top_s) & (t < self.top_t)
+        # the row and column after the last are for what the table lacks
+        self.dense = np.zeros((self.top_s + 1) * (self.top_t + 1), np.float32)
+        self.dense[s[inside] * (self.top_t + 1) + t[inside]] = dice[inside]
+        keys = s[~inside].astype(np.int64) * self.width + t[~inside]
+        order = keys.argsort()
+        self.keys, self.rest = np.append(keys[order], np.iinfo(np.int64).max), np.append(dice[~inside][order], np.float32(0))
+
+    def rows(self, ids: np.ndarray) -> np.ndarray:
+        return (np.minimum(ids, self.top_s) * (self.top_t + 1))[:, None]
+
+    def cols(self, ids: np.ndarray) -> np.ndarray:
+        return np.minimum(ids, self.top_t)
+
+    def _listed(self, keys: np.ndarray) -> np.ndarray:
+        at = self.keys.searchsorted(keys)
+        return np.where(self.keys[at] == keys, self.rest[at], np.float32(0))
+
+    def of(self, rows: np.ndarray, s: np.ndarray, cols: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Dice of the features at `s` (`rows` of the table) with those at `t` (`cols` of it)."""
+        got = self.dense.take(rows + cols)
+        if len(self.keys) > 1:
+            i, j = np.flatnonzero((s >= self.top_s) & (s < self.n_s)), np.flatnonzero((t >= self.top_t) & (t < self.n_t))
+            if len(i):
+                got[i] = self._listed(s[i][:, None].astype(np.int64) * self.width + t)
+            if len(j):
+                got[:, j] = self._listed(s[:, None].astype(np.int64) * self.width + t[j])
         return got
 
 
@@ -300,13 +340,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lexicon(texts: DataFrame) -> dict[str, tuple]:
     """Dice tables by language pair, from all pairs of `texts` (src, tgt).
 
-    What reaches the driver is bounded by the hashed features, and by WIDTH of them a side in the tables.
+    What reaches the driver is bounded by the hashed features, and by their cells of LEAST_DICE or more.
     """
     n = texts.select("src", "tgt").mapInArrow(_counts, "pair string, s int, t int, n bigint").groupBy("pair", "s", "t").agg(F.sum("n").alias("n"))
     n = checkpointed(n)
-    most = Window.partitionBy("pair").orderBy(F.desc("n"), "f")
-    ns = n.where("t < 0 and s >= 0").select("pair", F.col("s").alias("f"), "n").withColumn("r", F.row_number().over(most)).where(F.col("r") <= WIDTH)
-    nt = n.where("s < 0 and t >= 0").select("pair", F.col("t").alias("f"), "n").withColumn("r", F.row_number().over(most)).where(F.col("r") <= WIDTH)
+    ns = n.where("t < 0 and s >= 0").select("pair", F.col("s").alias("f"), "n")
+    nt = n.where("s < 0 and t >= 0").select("pair", F.col("t").alias("f"), "n")
     cells = (
         n.where("s >= 0 and t >= 0")
         .join(ns.select("pair", F.col("f").alias("s"), F.col("n").alias("ns")), ["pair", "s"])
@@ -319,17 +358,17 @@ def lexicon(texts: DataFrame) -> dict[str, tuple]:
     totals = {r.pair: r.n for r in n.where("s < 0 and t < 0").collect()}
     out = {}
     for p, total in totals.items():
-        rows, cols, both = (x[x.pair == p] for x in (ns, nt, cells))
+        rows, cols = (x[x.pair == p].sort_values(["n", "f"], ascending=[False, True]) for x in (ns, nt))
+        both = cells[cells.pair == p]
         si, ti = Index(rows.f.tolist()), Index(cols.f.tolist())
-        dice = np.zeros((si.none + 1, ti.none + 1), np.float32)
-        dice[both.s.map(si.place).to_numpy(int), both.t.map(ti.place).to_numpy(int)] = both.dice.to_numpy()
+        dice = np.minimum(1.0, both.dice.to_numpy() * np.float32(1.25)).astype(np.float32)
+        dice = Cells(both.s.map(si.place).to_numpy(int), both.t.map(ti.place).to_numpy(int), dice, si.none, ti.none)
         # a feature of nearly every sentence tells little
         weight = np.log(1 + total / (1 + np.append(cols.n.to_numpy(), 0))).astype(np.float32)
         weight[-1] = 0.0
         # with a well-filled lexicon, a feature it lacks speaks against any source sentence
         unknown = np.float32(min(3.0, 0.5 + total / 400))
-        # rows end to end, as one lookup by position is the quickest
-        out[p] = (si, ti, np.minimum(1.0, dice * 1.25).ravel(), np.where(weight > 0, weight, unknown).astype(np.float32))
+        out[p] = (si, ti, dice, np.where(weight > 0, weight, unknown).astype(np.float32))
     return out
 
 
@@ -359,14 +398,14 @@ def _in_order(a: Side, b: Side, pair: str, table: tuple) -> bool:
     another sentence of the source counts against the counterpart, so exchanged sentences don't pass.
     """
     _, _, dice, wt = table
-    rows, row_at = a.rows(pair, table)
-    cols, col_at = b.cols(pair, table)
-    weights = wt[cols]
+    rows, row_at, s_ids = a.rows(pair, table)
+    cols, col_at, t_ids = b.cols(pair, table)
+    weights = wt[t_ids]
     a_src, a_tgt, names = a.parts[1], b.parts[1], a.names
     for k, own in enumerate(a_src):
-        t = slice(col_at[k], col_at[k + 1])
+        s, t = slice(row_at[k], row_at[k + 1]), slice(col_at[k], col_at[k + 1])
         w = weights[t]
-        got, total = float(w @ dice.take(rows[row_at[k] : row_at[k + 1]] + cols[t]).max(0)), float(w.sum())
+        got, total = float(w @ dice.of(rows[s], s_ids[s], cols[t], t_ids[t]).max(0)), float(w.sum())
         for x in a_tgt[k]:
             if x in names:
                 total += names[x]
@@ -384,10 +423,10 @@ def _emissions(a: Side, b: Side, pair: str, table: tuple | None) -> np.ndarray:
     got, total = np.zeros((2 * m - 1, n)), np.full(n, 1e-6)
     if table is not None:
         _, _, dice, wt = table
-        rows, row_at = a.rows(pair, table)
-        cols, col_at = b.cols(pair, table)
-        w = wt[cols]
-        v = np.maximum.reduceat(dice.take(rows + cols), row_at[:-1], axis=0)
+        rows, row_at, s_ids = a.rows(pair, table)
+        cols, col_at, t_ids = b.cols(pair, table)
+        w = wt[t_ids]
+        v = np.maximum.reduceat(dice.of(rows, s_ids, cols, t_ids), row_at[:-1], axis=0)
         states = np.concatenate([v, np.maximum(v[:-1], v[1:])])
         got += np.add.reduceat(states * w, col_at[:-1], axis=1)
         total += np.add.reduceat(w, col_at[:-1])

@@ -79,3 +79,31 @@ def test_lexicon_of_all_texts(spark):
     assert table[0]["walrus"] != table[0].none and table[1]["morse"] != table[1].none
     e = align._emissions(align.Side("The noise falls. The walrus sleeps after days of rain."), align.Side("Le morse dort après jours sous la pluie."), "en>fr", table)
     assert e[1, 0] > 0.6 and e[0, 0] < align.NULL
+
+
+def test_every_feature_has_its_place(spark):
+    """More different words than any table of the most frequent ones: pairs of rare words are as like as others."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("bdfgklmnprstv", k=8))
+    rows = [(f"The {word()} of the {word()} and the {word()}.", f"Le {word()} des {word()} et les {word()}.") for _ in range(2500)]
+    table = align.lexicon(spark.createDataFrame(rows, "src string, tgt string"))["en>fr"]
+    si, ti, dice, _ = table
+    assert all(si[w] != si.none for s, _ in rows for w in align.parts_of(s)[0])
+    assert all(ti[w] != ti.none for _, t in rows for w in align.parts_of(t)[0])
+    for k in range(0, 2500, 50):
+        (s, t), (other, _) = rows[k], rows[k - 1]
+        e = align._emissions(align.Side(f"{other} {s}"), align.Side(t), "en>fr", table)
+        assert e[1, 0] > 0.6 and e[0, 0] < align.NULL
+
+
+def test_cells_dense_and_listed(monkeypatch):
+    """A small dense table gives the same as one that holds all."""
+    rng = align.np.random.default_rng(5)
+    full = align.np.where(rng.random((30, 40)) < 0.2, rng.random((30, 40)), 0).astype("float32")
+    s, t = full.nonzero()
+    ids, jds = rng.integers(0, 31, 25), rng.integers(0, 41, 35)  # the last is what the lexicon lacks
+    want = align.np.pad(full, ((0, 1), (0, 1)))[ids][:, jds]
+    for top in (0, 7, 100):
+        monkeypatch.setattr(align, "DENSE", top)
+        c = align.Cells(s, t, full[s, t], 30, 40)
+        assert (c.of(c.rows(ids), ids, c.cols(jds), jds) == want).all()
