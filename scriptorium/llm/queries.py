@@ -100,7 +100,7 @@ def p7_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score for every document."""
-    return content.scores(spread(table(spark, sf_dir, "documents")), ["doc_id"], "text")
+    return content.scores(spread(table(spark, sf_dir, "documents")), ["doc_id"], "text", table(spark, sf_dir, "content_labels"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents of each source are to be reviewed."""
-    return content.rates(content.scores(spread(table(spark, sf_dir, "documents")), ["doc_id", "source"], "text"))
+    return content.rates(content.scores(spread(table(spark, sf_dir, "documents")), ["doc_id", "source"], "text", table(spark, sf_dir, "content_labels")))
 
 
 QUERIES = {
