@@ -1,17 +1,21 @@
 """Sentence alignment of translated texts by a hidden Markov model.
 
-Each target sentence is emitted by a state: one source sentence, a span of two neighbouring ones (a merge), or
-the null state (an added sentence). The emission joins a bilingual lexicon and anchors (figures and names that
-stand in both texts); jump costs favour going on, allow staying (a split) and permit any other jump (moved
-sentences). Viterbi decoding gives the pairs.
+Each target sentence is emitted by a state: one source sentence, a span of two neighbouring ones (a merge), or null
+(an added sentence), which keeps the place reached so far. What a state emits is the likeness of its source to the
+target sentence, in steps: a bilingual lexicon and anchors (figures and names that stand in both texts) give it. The
+probabilities of likenesses, jumps, spans and null are estimated from all texts by expectation-maximisation
+(forward and backward sums, `ROUNDS` times), and the best path of every text is decoded (Viterbi). Texts of one
+shape, that is with as many sentences, are worked on together.
 
 The lexicon is a corpus statistic: Dice's coefficient of words (Han and kana: pairs of characters, Thai:
 triples) over all text pairs, whatever their length and numbers of sentences; `counterparts` says which sentences
-count as one another's. Every feature
-counts: cells of the DENSE most frequent ones are read from a table, those of rarer ones from a sorted list.
+count as one another's. Every feature counts: cells of the DENSE most frequent ones are read from a table, those of
+rarer ones from a sorted list. A pair of texts that occurs several times is cut and compared once and counted as
+often as it occurs.
 
 Defined results: null and blank texts, refusals and targets in the source's own language give no pair, save
-texts that are rightly the same in both languages; repeated rows of a translation give their pairs once.
+texts that are rightly the same in both languages; repeated rows of a translation give their pairs once; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import zlib
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +42,17 @@ SPACE = 1 << 16  # hashed features
 DENSE = 2048  # the most frequent features a language and side, whose cells stand in a table; those of the rest are listed
 CELLS = 2_000_000  # counts a task holds for a pair of languages before they are added up
 LEAST_DICE = 0.03  # a weaker association is none
-NULL = 0.30  # an emission below this is the null state's
-MERGE, STAY, JUMP, BACK = 0.18, 0.12, 0.08, 0.14
-ADDS = 0.14  # what each sentence of a span must add to the emission
-REFUSAL = 400
-SURE = 0.35
-CLEAR = 0.72
+BLOCK = 4_000_000  # features against features compared at once
+ROUNDS = 4  # of expectation-maximisation
+PSEUDO = 50.0  # target sentences that the beginning of the estimate weighs as much as
+#: Steps of likeness, and of what a span's second sentence adds to it; the last likeness is that of sentences nothing is known about.
+LIKE = np.array([0.03, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.96])
+#: Weights of all features of a target sentence that part short, middling and long ones, as likeness says more of long ones.
+SIZES = np.array([15.0, 40.0])
+ADDED = np.array([0.05, 0.1, 0.15, 0.2, 0.3])
+UNIFORM = 0.15  # share of jumps that go anywhere, whatever was counted
+DOUBT = 0.01  # share of the beginning that likenesses keep
+UNKNOWN = (len(LIKE) + 1) * (len(SIZES) + 1)
 ANCHOR = 2.0  # weight of an anchor against a lexical feature
 
 #: A figure with its separators, a name, a word of small letters, or a run of Han, kana or Thai letters.
@@ -90,6 +100,8 @@ def parts_of(text: str) -> tuple[list[str], set[str]]:
             words += [w[i : i + 3] for i in range(len(w) - 2)] or [w]
         else:
             words += [w[i : i + 2] for i in range(len(w) - 1)] or [w]
+    if not words:  # a heading whose words all have capitals
+        words = [x.lower() for x in anchors if x.isalpha() and x[1:].islower()]
     return list(dict.fromkeys(words)), anchors
 
 
@@ -289,51 +301,117 @@ def counterparts(a: Side, b: Side) -> list[tuple[list[int], list[int]]]:
     return out
 
 
+def _once(batch: pa.RecordBatch, *columns: str) -> dict[tuple, list[int]]:
+    """The rows of a batch by what stands in `columns`."""
+    out: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in columns), strict=True)):
+        out.setdefault(key, []).append(i)
+    return out
+
+
+class _Sums:
+    """How often features stand on both sides of a group, for one pair of languages.
+
+    Features have places in order of their coming. While the table of all places is small, counts are added up in it;
+    beyond that, by sorting.
+    """
+
+    def __init__(self) -> None:
+        self.s, self.t = _Places(), _Places()
+        self.left: list[int] = []
+        self.right: list[int] = []
+        self.sizes: list[tuple[int, int, int]] = []
+        self.waiting = 0
+        self.table = np.zeros((0, 0), np.int64)
+        self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, u: set[str], v: set[str], times: int) -> None:
+        self.left += map(self.s.__getitem__, u)
+        self.right += map(self.t.__getitem__, v)
+        # place 0 counts the other side alone
+        self.left.append(0)
+        self.right.append(0)
+        self.sizes.append((len(u) + 1, len(v) + 1, times))
+        self.waiting += (len(u) + 1) * (len(v) + 1)
+
+    def press(self) -> None:
+        if not self.sizes:
+            return
+        a, b, times = np.array(self.sizes, np.int64).T
+        left, right = np.array(self.left, np.int64), np.array(self.right, np.int64)
+        # each left feature of a group meets all right ones of the group
+        each = np.repeat(b, a)
+        first = np.repeat(b.cumsum() - b, a)
+        inner = np.arange(each.sum()) - np.repeat(each.cumsum() - each, each)
+        x, y = np.repeat(left, each), right[np.repeat(first, each) + inner]
+        w = np.repeat(np.repeat(times, a), each)
+        self.left, self.right, self.sizes, self.waiting = [], [], [], 0
+        rows, cols = len(self.s.at), len(self.t.at)
+        if rows * cols <= 4 * CELLS and not len(self.keys):
+            grown = np.bincount(x * cols + y, w, rows * cols).astype(np.int64).reshape(rows, cols)
+            grown[: self.table.shape[0], : self.table.shape[1]] += self.table
+            self.table = grown
+            return
+        if self.table.size:
+            i, j = self.table.nonzero()
+            self.keys, self.n, self.table = (i << 20) | j, self.table[i, j], np.zeros((0, 0), np.int64)
+        keys, inverse = np.unique(np.concatenate([self.keys, (x << 20) | y]), return_inverse=True)
+        self.n = np.bincount(inverse, np.concatenate([self.n, w])).astype(np.int64)
+        self.keys = keys
+
+    def cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of both sides (-1: none) and counts."""
+        self.press()
+        i, j = self.table.nonzero() if self.table.size else (self.keys >> 20, self.keys & 0xFFFFF)
+        n = self.table[i, j] if self.table.size else self.n
+        return np.array(self.s.at, np.int32)[i], np.array(self.t.at, np.int32)[j], n
+
+
+class _Places(dict):
+    """From a word to the place of its hash; place 0 is for none."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.at, self.of = [-1], {}
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        h = _hash(w)
+        place = self.of.get(h)
+        if place is None:
+            place = self.of[h] = len(self.at)
+            self.at.append(h)
+        self[w] = place
+        return place
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often features stand on both sides of a group; -1 on one side counts the other side alone.
 
     Sums so far are given away whenever they pass CELLS, so memory doesn't grow with the texts.
     """
-    held: dict[str, list[np.ndarray]] = defaultdict(list)
-    size: dict[str, int] = defaultdict(int)
-    sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    sides = _Sides()
-
-    def press(p: str) -> None:
-        keys, n = np.unique(np.concatenate(held[p]), return_counts=True)
-        if p in sums:
-            k0, n0 = sums[p]
-            keys, inverse = np.unique(np.concatenate([k0, keys]), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([n0, n])).astype(np.int64)
-        sums[p] = (keys, n)
-        held[p], size[p] = [], 0
+    sums: dict[str, _Sums] = defaultdict(_Sums)
 
     def given() -> Iterator[pa.RecordBatch]:
-        for p, (keys, n) in sums.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p] * len(keys)), pa.array(((keys >> 20) - 1).astype(np.int32)), pa.array(((keys & 0xFFFFF) - 1).astype(np.int32)), pa.array(n.astype(np.int64))],
-                names=["pair", "s", "t", "n"],
-            )
+        for p, one in sums.items():
+            s, t, n = one.cells()
+            yield pa.RecordBatch.from_arrays([pa.array([p] * len(n)), pa.array(s), pa.array(t), pa.array(n)], names=["pair", "s", "t", "n"])
         sums.clear()
 
     for batch in batches:
-        for src, tgt in zip(batch.column("src").to_pylist(), batch.column("tgt").to_pylist(), strict=True):
+        sides = _Sides()
+        for (src, tgt), rows in _once(batch, "src", "tgt").items():
             a, b = sides[src], Side(tgt)
             if not a.lang or not b.lang or a.lang == b.lang:
                 continue
-            p = f"{a.lang}>{b.lang}"
+            one = sums[f"{a.lang}>{b.lang}"]
             for x, y in counterparts(a, b):
-                u = np.array([-1, *{HASH[w] for i in x for w in a.parts[0][i]}], np.int64)
-                v = np.array([-1, *{HASH[w] for j in y for w in b.parts[0][j]}], np.int64)
-                held[p].append((((u + 1)[:, None] << 20) | (v + 1)[None, :]).ravel())
-                size[p] += len(u) * len(v)
-                if size[p] >= CELLS:
-                    press(p)
-        if sum(len(keys) for keys, _ in sums.values()) >= CELLS:
+                one.add({w for i in x for w in a.parts[0][i]}, {w for j in y for w in b.parts[0][j]}, len(rows))
+            if one.waiting >= CELLS:
+                one.press()
+        if sum(max(x.table.size // 4, len(x.keys)) for x in sums.values()) >= CELLS:
             yield from given()
-    for p in list(held):
-        if held[p]:
-            press(p)
     yield from given()
 
 
@@ -372,146 +450,329 @@ def lexicon(texts: DataFrame) -> dict[str, tuple]:
     return out
 
 
-_JUMPS: dict[int, tuple] = {}
+@dataclass(frozen=True)
+class Model:
+    """What the hidden Markov model has learnt: chances of null, of spans, of texts without any pair, of jumps (by JUMPS), of likenesses and additions."""
 
+    null: float
+    span: float
+    bare: float  # of a text none of whose sentences is a translation
+    jumps: np.ndarray
+    like: np.ndarray  # of a state's source to what it emits
+    unlike: np.ndarray  # of any other source
+    adds: np.ndarray  # what the weaker sentence of a span adds, if the span is the state
+    idle: np.ndarray  # and if one of its sentences alone is
 
-def _states(m: int) -> tuple:
-    """Spans of one or two source sentences, and the cost of going from one to another; the last state is null."""
-    got = _JUMPS.get(m)
-    if got is None:
-        first = np.array([*range(m), *range(m - 1)])
-        last = np.array([*range(m), *range(1, m)])
-        d = first[None, :] - last[:, None]
-        cost = np.where(d == 1, 0.0, np.where(d >= 2, JUMP + 0.01 * np.minimum(d, 8), BACK + 0.01 * np.minimum(-d, 8)))
-        same = (first[None, :] == first[:, None]) & (last[None, :] == last[:, None])
-        cost = np.where(same, STAY, np.where((d == 0) & ~same, STAY + 0.1, cost)).astype(np.float32)
-        merge = np.array([0.0] * m + [MERGE] * (m - 1), np.float32)
-        start = np.minimum(0.04 * first, 0.1).astype(np.float32)
-        got = _JUMPS[m] = (first, last, cost, merge, start)
-    return got
 
+#: Jumps from the last sentence reached: far back, one back, again, the next, over one, far on.
+JUMPS = (-2, -1, 0, 1, 2, 3)
+START = Model(
+    0.03, 0.03, 0.02, np.array([0.01, 0.02, 0.04, 0.88, 0.04, 0.01]),
+    np.repeat([0.01, 0.01, 0.02, 0.03, 0.05, 0.08, 0.11, 0.15, 0.2, 0.18, 0.1, 0.06], 3) / 3, np.repeat([0.4, 0.15, 0.12, 0.1, 0.08, 0.06, 0.04, 0.025, 0.015, 0.007, 0.002, 0.001], 3) / 3,
+    # a span whose weaker sentence adds nothing is none
+    np.array([0.0, 0.05, 0.1, 0.15, 0.3, 0.4]), np.array([0.75, 0.12, 0.06, 0.04, 0.02, 0.01]),
+)
 
-def _in_order(a: Side, b: Side, pair: str, table: tuple) -> bool:
-    """Whether every sentence is clearly the translation of its counterpart, so that no other path need be tried.
 
-    The same emissions as those of the whole matrix, but for counterparts alone. A figure or name that stands in
-    another sentence of the source counts against the counterpart, so exchanged sentences don't pass.
-    """
-    _, _, dice, wt = table
-    rows, row_at, s_ids = a.rows(pair, table)
-    cols, col_at, t_ids = b.cols(pair, table)
-    weights = wt[t_ids]
-    a_src, a_tgt, names = a.parts[1], b.parts[1], a.names
-    for k, own in enumerate(a_src):
-        s, t = slice(row_at[k], row_at[k + 1]), slice(col_at[k], col_at[k + 1])
-        w = weights[t]
-        got, total = float(w @ dice.of(rows[s], s_ids[s], cols[t], t_ids[t]).max(0)), float(w.sum())
-        for x in a_tgt[k]:
-            if x in names:
-                total += names[x]
-                if x in own:
-                    got += names[x]
-        if got < CLEAR * total or total <= 0:
-            return False
-    return True
-
-
-def _emissions(a: Side, b: Side, pair: str, table: tuple | None) -> np.ndarray:
-    """Likeness of every state (rows) and target sentence (columns), between 0 and 1."""
+def _emissions(a: Side, b: Side, pair: str, table: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+    """Likeness of every state (rows) and target sentence (columns), between 0 and 1; below 0 where nothing is known.
+    Then the weight of each target sentence."""
     a_src, a_tgt, names = a.parts[1], b.parts[1], a.names
     m, n = len(a_src), len(a_tgt)
-    got, total = np.zeros((2 * m - 1, n)), np.full(n, 1e-6)
+    got, total = np.zeros((2 * m - 1, n)), np.zeros(n)
     if table is not None:
         _, _, dice, wt = table
         rows, row_at, s_ids = a.rows(pair, table)
         cols, col_at, t_ids = b.cols(pair, table)
         w = wt[t_ids]
-        v = np.maximum.reduceat(dice.of(rows, s_ids, cols, t_ids), row_at[:-1], axis=0)
-        states = np.concatenate([v, np.maximum(v[:-1], v[1:])])
-        got += np.add.reduceat(states * w, col_at[:-1], axis=1)
         total += np.add.reduceat(w, col_at[:-1])
+        if len(s_ids) * len(t_ids) <= BLOCK:
+            v = np.maximum.reduceat(dice.of(rows, s_ids, cols, t_ids), row_at[:-1], axis=0)
+            got[:m] = np.add.reduceat(v * w, col_at[:-1], axis=1)
+            if m > 1:
+                got[m:] = np.add.reduceat(np.maximum(v[:-1], v[1:]) * w, col_at[:-1], axis=1)
+        else:  # long texts: a source sentence at a time
+            before = None
+            for i in range(m):
+                x = slice(row_at[i], row_at[i + 1])
+                v = dice.of(rows[x], s_ids[x], cols, t_ids).max(0)
+                got[i] = np.add.reduceat(v * w, col_at[:-1])
+                if before is not None:
+                    got[m + i - 1] = np.add.reduceat(np.maximum(before, v) * w, col_at[:-1])
+                before = v
+    where: dict[str, list[int]] | None = None
     for j, anchors in enumerate(a_tgt):
         for x in anchors:
             w = names.get(x)
             if w is None:
                 continue
+            if where is None:
+                where = defaultdict(list)
+                for i, own in enumerate(a_src):
+                    for y in own:
+                        where[y].append(i)
             total[j] += w
-            has = [x in own for own in a_src]
-            for i in range(m):
-                if has[i]:
-                    got[i, j] += w
-                if i + 1 < m and (has[i] or has[i + 1]):
-                    got[m + i, j] += w
-    return got / total
+            held = where[x]
+            for i in held:
+                got[i, j] += w
+            for i in {k for i in held for k in (i - 1, i) if 0 <= k < m - 1}:
+                got[m + i, j] += w
+    e = got / np.maximum(total, 1e-6)
+    # nothing is known of sentences without a feature that the lexicon has
+    known_t = total > 0 if table is None else np.maximum.reduceat(t_ids != table[1].none, col_at[:-1])
+    known_s = np.zeros(m, bool) if table is None else np.maximum.reduceat(s_ids != table[0].none, row_at[:-1])
+    blind = ~(np.concatenate([known_s, known_s[:-1] | known_s[1:]])[:, None] & known_t[None, :])
+    return np.where(blind & (got <= 0), -1.0, e), total
+
+
+def _steps(likeness: tuple[np.ndarray, np.ndarray], m: int) -> bytes:
+    """Likenesses of sources, then of spans, then what spans add, as steps; of each all sources by target sentence."""
+    e, total = likeness
+    like = np.where(e < 0, UNKNOWN, LIKE.searchsorted(e, "right") * (len(SIZES) + 1) + SIZES.searchsorted(total)).astype(np.uint8)
+    adds = ADDED.searchsorted(e[m:] - np.maximum(e[: m - 1], e[1:m]), "right").astype(np.uint8)
+    return np.concatenate([like[:m].T.ravel(), like[m:].T.ravel(), adds.T.ravel()]).tobytes()
+
+
+class Trellis:
+    """Texts of one shape, m source and n target sentences, under a model. Places go from 0 (nothing reached) to m."""
+
+    def __init__(self, steps: list[bytes], m: int, n: int, model: Model) -> None:
+        self.m, self.n, self.model, self.size = m, n, model, len(steps)
+        both = np.frombuffer(b"".join(steps), np.uint8).reshape(len(steps), -1)
+        self.like = both[:, : n * m].reshape(self.size, n, m)
+        self.span_like = both[:, n * m : n * (2 * m - 1)].reshape(self.size, n, m - 1)
+        self.adds = both[:, n * (2 * m - 1) :].reshape(self.size, n, m - 1)
+        odds = np.append(model.like / model.unlike, 1.0)
+        one = (1 - model.null) * (1 - model.span)
+        two = (1 - model.null) * model.span
+        self.single = one * odds[self.like]
+        self.span = two * odds[self.span_like] * (model.adds / model.idle)[self.adds]
+        # far jumps go to any of m sentences
+        # the way that reaches nothing is worth what texts without pairs are
+        self.bare = model.bare / (1 - model.bare) * math.exp(min(600.0, -n * math.log(model.null)))
+        self.counted = (1 - UNIFORM) * model.jumps / np.array([m, 1, 1, 1, 1, m])
+        self.jump = self.counted + UNIFORM / m
+
+    def reach(self, before: np.ndarray, top: bool = False) -> np.ndarray:
+        """Chance of coming to each source sentence from places `before` (size, m + 1): summed, or of the best way."""
+        m, (back, last, again, following, over, far) = self.m, self.jump
+        mix = np.maximum if top else np.add
+        out = before[:, :m] * following
+        out = mix(out, before[:, 1:] * again)
+        if m > 1:
+            out[:, 1:] = mix(out[:, 1:], before[:, : m - 1] * over)
+            out[:, : m - 1] = mix(out[:, : m - 1], before[:, 2:] * last)
+        if m > 2:
+            run = mix.accumulate(before, axis=1)
+            out[:, 2:] = mix(out[:, 2:], run[:, : m - 2] * far)
+            run = mix.accumulate(before[:, ::-1], axis=1)[:, ::-1]
+            out[:, : m - 2] = mix(out[:, : m - 2], run[:, 3:] * back)
+        return out
+
+    def leave(self, ahead: np.ndarray) -> np.ndarray:
+        """The same the other way round: from each place, the chance of all that follows, given that of each source sentence."""
+        m, (back, last, again, following, over, far) = self.m, self.jump
+        out = np.zeros((len(ahead), m + 1))
+        out[:, :m] += ahead * following
+        out[:, 1:] += ahead * again
+        if m > 1:
+            out[:, : m - 1] += ahead[:, 1:] * over
+            out[:, 2:] += ahead[:, : m - 1] * last
+        if m > 2:
+            out[:, : m - 2] += ahead[:, ::-1].cumsum(1)[:, ::-1][:, 2:] * far
+            out[:, 3:] += ahead.cumsum(1)[:, : m - 2] * back
+        return out
+
+    def forward(self, top: bool = False) -> np.ndarray:
+        """(n + 1, size, m + 1): chance of each place after each target sentence, scaled to add up to 1 (or to 1 at most)."""
+        mix = np.maximum if top else np.add
+        a = np.zeros((self.n + 1, self.size, self.m + 1))
+        a[0, :, 0] = 1.0
+        for j in range(self.n):
+            came = self.reach(a[j], top)
+            now = a[j] * self.model.null
+            now[:, 1:] = mix(now[:, 1:], came * self.single[:, j])
+            if self.m > 1:
+                now[:, 2:] = mix(now[:, 2:], came[:, :-1] * self.span[:, j])
+            a[j + 1] = now / (now.max(1) if top else now.sum(1))[:, None]
+        a[-1, :, 0] *= self.bare
+        return a
+
+    def paths(self) -> np.ndarray:
+        """(size, n, 2): first and last source sentence of the best state of each target sentence; -1, -1 for null."""
+        a, who = self.forward(top=True), np.arange(self.size)
+        out = np.full((self.size, self.n, 2), -1)
+        place = a[-1].argmax(1)
+        for j in range(self.n - 1, -1, -1):
+            before = a[j]
+            choices = [before[who, place] * self.model.null]
+            froms = [place]
+            for width in (1, 2):  # a single sentence, a span of two
+                first = place - width  # 0-based
+                d = first[:, None] + 1 - np.arange(self.m + 1)[None, :]
+                ways = before * self.jump[np.clip(d, -2, 3) + 2]
+                best = ways.argmax(1)
+                emitted = self.single[:, j] if width == 1 else self.span[:, j]
+                ok = (first >= 0) & (first < emitted.shape[1])
+                chance = emitted[who, np.where(ok, first, 0)] if emitted.shape[1] else np.zeros(self.size)
+                choices.append(np.where(ok, ways[who, best] * chance, -1.0))
+                froms.append(best)
+            kind = np.stack(choices).argmax(0)
+            out[:, j, 0] = np.where(kind > 0, place - kind, -1)
+            out[:, j, 1] = np.where(kind > 0, place - 1, -1)
+            place = np.stack(froms)[kind, who]
+        return out
+
+    def expected(self, times: np.ndarray) -> dict[str, np.ndarray]:
+        """Expected counts of all that the model estimates; texts count `times`."""
+        m, a = self.m, self.forward()
+        got = {k: np.zeros(2 if isinstance(x, float) else len(x)) for k, x in vars(START).items()}
+        bare = a[-1, :, 0] / a[-1].sum(1) * times
+        got["bare"] += bare.sum(), times.sum()
+        got["null"] -= bare.sum() * self.n  # what texts without pairs have isn't added
+        after = np.ones((self.size, m + 1))
+        after[:, 0] = self.bare
+        for j in range(self.n - 1, -1, -1):
+            before = a[j]
+            came = self.reach(before)
+            one = came * self.single[:, j] * after[:, 1:]
+            two = came[:, :-1] * self.span[:, j] * after[:, 2:]
+            none = before * self.model.null * after
+            scale = times / (one.sum(1) + two.sum(1) + none.sum(1))
+            one, two, none = one * scale[:, None], two * scale[:, None], none.sum(1) * scale
+            got["null"] += none.sum(), times.sum()
+            got["span"] += two.sum(), one.sum() + two.sum()
+            like, wide, adds = self.like[:, j].ravel(), self.span_like[:, j].ravel(), self.adds[:, j].ravel()
+            size = UNKNOWN + 1
+            got["like"] += (np.bincount(like, one.ravel(), size) + np.bincount(wide, two.ravel(), size))[:-1]
+            covered = one.copy()
+            if m > 1:
+                covered[:, :-1] += two
+                covered[:, 1:] += two
+                got["adds"] += np.bincount(adds, two.ravel(), len(ADDED) + 1)
+                got["idle"] += np.bincount(adds, (one[:, :-1] + one[:, 1:]).ravel(), len(ADDED) + 1)
+            got["unlike"] += np.bincount(like, np.maximum(times[:, None] - covered, 0).ravel(), size)[:-1]
+            ahead = self.single[:, j] * after[:, 1:]
+            if m > 1:
+                ahead[:, :-1] += self.span[:, j] * after[:, 2:]
+            x = ahead * scale[:, None]
+            back, last, again, following, over, far = self.counted
+            got["jumps"][3] += (before[:, :m] * x).sum() * following
+            got["jumps"][2] += (before[:, 1:] * x).sum() * again
+            if m > 1:
+                got["jumps"][4] += (before[:, : m - 1] * x[:, 1:]).sum() * over
+                got["jumps"][1] += (before[:, 2:] * x[:, : m - 1]).sum() * last
+            if m > 2:
+                got["jumps"][5] += (before.cumsum(1)[:, : m - 2] * x[:, 2:]).sum() * far
+                got["jumps"][0] += (before[:, ::-1].cumsum(1)[:, ::-1][:, 3:] * x[:, : m - 2]).sum() * back
+            after = self.leave(ahead) + after * self.model.null
+            after /= after.max(1)[:, None]
+        return got
+
+
+def estimated(counts: dict[str, np.ndarray]) -> Model:
+    """The model of expected counts, with PSEUDO sentences that are as START says."""
+    share = lambda k: (counts[k][0] + PSEUDO * getattr(START, k)) / (counts[k][1] + PSEUDO)
+    rates = lambda k: (counts[k] + PSEUDO * getattr(START, k)) / (counts[k].sum() + PSEUDO * getattr(START, k).sum())
+    kept = lambda k: (1 - DOUBT) * rates(k) + DOUBT * getattr(START, k)
+    return Model(*(float(share(k)) for k in ("null", "span", "bare")), rates("jumps"), kept("like"), kept("unlike"), rates("adds"), rates("idle"))
+
 
+def _pairs(path: np.ndarray, src: list[int], tgt: list[int]) -> list[tuple[int, int]]:
+    return [(src[i], tgt[j]) for j, (first, last) in enumerate(path.tolist()) if first >= 0 for i in range(first, last + 1)]
 
-def align(a: Side, b: Side, lex: dict[str, tuple]) -> list[tuple[int, int]]:
+
+def align(a: Side, b: Side, lex: dict[str, tuple], model: Model = START) -> list[tuple[int, int]]:
     """Pairs of (start of a source sentence, start of a target sentence)."""
     m, n = len(a.spans), len(b.spans)
     if not m or not n:
         return []
-    if m == 1 and n == 1:
-        return [(a.spans[0][0], b.spans[0][0])]
     pair = f"{a.lang}>{b.lang}"
-    table = lex.get(pair)
-    if m == n and table is not None and _in_order(a, b, pair, table):
-        return [(x[0], y[0]) for x, y in zip(a.spans, b.spans, strict=True)]
-    e = _emissions(a, b, pair, table)
-    first, last, cost, merge, start = _states(m)
-    if table is None:  # no lexicon: order decides where anchors are silent
-        e = e * 0.7 + 0.3 * (1 - np.abs(first[:, None] / m - np.arange(n)[None, :] / n))
-    if m == n:
-        diagonal = e[:m].diagonal()
-        if (diagonal >= SURE).all() and ((e - merge[:, None]).max(0) <= diagonal).all():
-            # every sentence is best with its counterpart, and going on costs nothing: that is the best path
-            return [(x[0], y[0]) for x, y in zip(a.spans, b.spans, strict=True)]
-    gain = np.maximum(e - merge[:, None], 0)  # a sentence without support costs nothing: it is the null state's
-    score = gain[:, 0] - start
-    back = []
-    for j in range(1, n):
-        step = score[:, None] - cost
-        who = step.argmax(0)
-        back.append(who)
-        score = step[who, np.arange(len(who))] + gain[:, j]
-    path = [int(score.argmax())]
-    for who in reversed(back):
-        path.append(int(who[path[-1]]))
-    path.reverse()
-    out = []
-    for j, k in enumerate(path):
-        if e[k, j] < NULL:
-            continue
-        i, h = int(first[k]), int(last[k])
-        if i != h:  # both sentences of a span must add something
-            if e[k, j] - e[h, j] < ADDS:
-                i = h
-            elif e[k, j] - e[i, j] < ADDS:
-                h = i
-        out += [(a.spans[x][0], b.spans[j][0]) for x in range(i, h + 1)]
-    return out
+    steps = _steps(_emissions(a, b, pair, lex.get(pair)), m)
+    return _pairs(Trellis([steps], m, n, model).paths()[0], [x for x, _ in a.spans], [x for x, _ in b.spans])
+
 
+_LIKENESS = "ids array<bigint>, m int, n int, src array<int>, tgt array<int>, steps binary"
+
+
+def _likeness(lex):
+    """A row for each different pair of texts of a batch: its translations, where sentences begin, and their likenesses."""
 
-def _aligner(lex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, sides = lex.value, _Sides()
+        table = lex.value
         for batch in batches:
-            ids, s_out, t_out = [], [], []
-            rows = (batch.column(c).to_pylist() for c in ("row_id", "lang", "src", "tgt"))
-            for row_id, lang, src, tgt in zip(*rows, strict=True):
+            sides, out = _Sides(), []
+            row_ids = batch.column("row_id").to_pylist()
+            for (src, tgt, lang), rows in _once(batch, "src", "tgt", "lang").items():
                 a, b = sides[src], Side(tgt)
                 if src == tgt or a.lang == b.lang is not None:
                     if not same_in_both(src, tgt, lang):
                         continue
-                elif len(tgt) < REFUSAL and refuses(tgt):  # one that goes on after refusing has something to align
+                elif refuses(tgt):
                     continue
-                for x, y in align(a, b, table):
-                    ids.append(row_id)
-                    s_out.append(x)
-                    t_out.append(y)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(s_out, pa.int32()), pa.array(t_out, pa.int32())],
-                names=["translation_id", "src_start", "tgt_start"],
-            )
+                m, n = len(a.spans), len(b.spans)
+                if m and n:
+                    pair = f"{a.lang}>{b.lang}"
+                    out.append(([row_ids[i] for i in rows], m, n, [x for x, _ in a.spans], [x for x, _ in b.spans], _steps(_emissions(a, b, pair, table.get(pair)), m)))
+            cols = list(zip(*out, strict=True)) if out else [()] * 6
+            kinds = (pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["ids", "m", "n", "src", "tgt", "steps"])
+
+    return run
+
+
+def _trellises(batch: pa.RecordBatch, model: Model) -> Iterator[tuple[list[int], Trellis]]:
+    """The rows of a batch by shape, as many at once as BLOCK allows, with their trellis."""
+    steps = batch.column("steps").to_pylist()
+    for (m, n), rows in _once(batch, "m", "n").items():
+        few = max(1, BLOCK // (m * n))
+        for k in range(0, len(rows), few):
+            some = rows[k : k + few]
+            yield some, Trellis([steps[i] for i in some], m, n, model)
+
+
+def _expected(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            ids = batch.column("times").to_pylist()
+            for rows, trellis in _trellises(batch, model):
+                for k, x in trellis.expected(np.array([ids[i] for i in rows], float)).items():
+                    total[k] = total.get(k, 0) + x
+        flat = [(k, i, float(y)) for k, x in total.items() for i, y in enumerate(x)]
+        cols = list(zip(*flat, strict=True)) if flat else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.float64()), strict=True)], names=["what", "i", "x"])
+
+    return run
+
+
+def learnt(likeness: DataFrame) -> Model:
+    """The model estimated from all texts; a few dozen sums reach the driver in each round."""
+    model = START
+    slim = likeness.select("m", "n", "steps", F.size("ids").alias("times"))
+    for _ in range(ROUNDS):
+        sums = slim.mapInArrow(_expected(model), "what string, i int, x double").groupBy("what", "i").agg(F.sum("x").alias("x")).collect()
+        if not sums:
+            break
+        counts = {k: np.zeros(1 + max(r.i for r in sums if r.what == k)) for k in {r.what for r in sums}}
+        for r in sums:
+            counts[r.what][r.i] = r.x
+        model = estimated(counts)
+    return model
+
+
+def _decoder(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, src, tgt = (batch.column(c).to_pylist() for c in ("ids", "src", "tgt"))
+            out: list[tuple[int, int, int]] = []
+            for rows, trellis in _trellises(batch, model):
+                for i, path in zip(rows, trellis.paths(), strict=True):
+                    found = _pairs(path, src[i], tgt[i])
+                    out += [(x, *y) for x in ids[i] for y in found]
+            cols = list(zip(*out, strict=True)) if out else [()] * 3
+            kinds = (pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["translation_id", "src_start", "tgt_start"])
 
     return run
 
@@ -520,5 +781,5 @@ def aligned(texts: DataFrame) -> DataFrame:
     """(translation_id, src_start, tgt_start) of `texts` (row_id, lang, src, tgt)."""
     texts = texts.where(F.col("src").isNotNull() & F.col("tgt").isNotNull())
     lex = texts.sparkSession.sparkContext.broadcast(lexicon(texts))
-    schema = "translation_id bigint, src_start int, tgt_start int"
-    return texts.select("row_id", "lang", "src", "tgt").mapInArrow(_aligner(lex), schema).distinct()
+    likeness = checkpointed(texts.select("row_id", "lang", "src", "tgt").mapInArrow(_likeness(lex), _LIKENESS))
+    return likeness.mapInArrow(_decoder(learnt(likeness)), "translation_id bigint, src_start int, tgt_start int").distinct()
