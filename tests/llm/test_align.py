@@ -157,7 +157,7 @@ def test_decoding_and_sums_like_brute_force():
 
 def test_one_by_one_and_better_elsewhere():
     """A lone pair that has little in common is null where many texts are; a better likeness elsewhere wins over order."""
-    e = align.np.array([[0.1, 0.1, 0.1], [0.1, 0.45, 0.1], [0.1, 0.97, 0.1], [0.1, 0.45, 0.1], [0.1, 0.98, 0.1]])
+    e = align.np.array([[0.9, 0.1, 0.1], [0.1, 0.45, 0.1], [0.1, 0.97, 0.1], [0.9, 0.45, 0.1], [0.1, 0.98, 0.1]])
     path = align.Trellis([align._steps((e, align.np.full(3, 50.0)), 3)], 3, 3, align.START).paths()[0].tolist()
     assert path[1] == [2, 2]
     model = align.Model(**{**vars(align.START), "bare": 0.5})
