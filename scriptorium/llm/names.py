@@ -1,11 +1,13 @@
 """Variant spellings of the names of people and organisations, linked by a pigeonhole segment join.
 
 Each string is taken apart into family name, given name, initials and year, or into the kind and the telling
-word of an organisation. Misspelt words are found by cutting each word into segments: one edit spoils only one
-of them, so the others are looked up in an inverted index at shifted positions, for the lengths an edit can
-give, and the candidates are verified by banded edit distance (a swap of neighbours counts as one edit). A
-misspelling goes to its most frequent neighbour. Nicknames, initials and bare family names are then joined to
-the one person of the family they fit; where several fit, the year of a citation decides or nothing.
+word of an organisation. Misspelt words are found by cutting each word into k + 1 segments, k being the edits a word
+of its length may have (`edits`): k edits leave one segment alone at least, so substrings of a word at the places
+it may have shifted to are looked up in an inverted index of segments, for the lengths k edits can give, and the
+candidates are verified by banded edit distance (a swap of neighbours counts as one edit). A misspelling goes to its
+most frequent neighbour, unless it is a name in its own right: one that people with three different initials bear,
+or whose bearers share no initial with the neighbour's. Nicknames, initials and bare family names are then joined
+to the one person of the family they fit; where several fit, the year of a citation decides or nothing.
 
 All steps are joins and aggregations of distinct strings; nothing but the result pairs within an entity.
 
@@ -188,21 +190,52 @@ def cited_names(claims: DataFrame, column: str) -> DataFrame:
     return claims.where(F.col(column).isNotNull()).select(name).where(r"name rlike '\\p{L}'")
 
 
-def _keys(word: Column, size: Column, own: Column) -> Column:
-    """The segment keys of a word as if an indexed word of length `size` stood behind it; `own` is its length.
+def edits(n: int) -> int:
+    """How many edits lie between two spellings of a word at most, by the letters of the shorter one."""
+    return 2 if n >= 12 else 1
 
-    One of three overlapping segments is left out; where it holds the edit, the rest is unchanged, and only
-    shifted by the difference in length.
-    """
-    a, b, shift = F.floor(size / 3).cast("int"), F.floor(size * 2 / 3).cast("int"), (own - size).cast("int")
 
-    def without(i: int, first: Column, last: Column) -> Column:
-        left = F.substring(word, F.lit(1), first)
-        right = F.substring(word, last + shift + 1, own)
-        return F.concat_ws("|", size.cast("string"), F.lit(str(i)), left, right)
+def _segments(n: int, k: int) -> list[tuple[int, int]]:
+    """Where the k + 1 segments of a word of n letters begin and end, as even as can be."""
+    return [(i * n // (k + 1), (i + 1) * n // (k + 1)) for i in range(k + 1)]
+
+
+def _index_keys(w: str) -> set[str]:
+    """Each segment of a word, with the word's length and the segment's number; and the whole word."""
+    n = len(w)
+    return {f"{n} {i} {w[x:y]}" for k in {edits(n), edits(n - 1), edits(n - 2)} for i, (x, y) in enumerate(_segments(n, k), 3 * k)} | {f"{n} = {w}"}
+
 
-    zero = F.lit(0)
-    return F.array(without(0, zero, a + 1), without(1, a, b + 1), without(2, b, size))
+def _probe_keys(w: str) -> set[str]:
+    """The keys under which words within `edits` of a word are in the index.
+
+    With d letters more in the other word, segment i of it can't have shifted by more than the edits before it, nor by
+    more than those after it leave. A swap across the border of two segments spoils both; it is looked up as a whole.
+    """
+    n, out = len(w), set()
+    for size in range(max(1, n - 2), n + 3):
+        k = edits(min(n, size))
+        if abs(n - size) > k:
+            continue
+        for i, (x, y) in enumerate(_segments(size, k)):
+            d = n - size
+            first, last = max(x - i, x + d - (k - i), 0), min(x + i, x + d + (k - i), n - (y - x))
+            out |= {f"{size} {3 * k + i} {w[p : p + y - x]}" for p in range(first, last + 1)}
+        if size == n:
+            for x, _ in _segments(n, k)[1:]:
+                if 0 < x < n and w[x - 1] != w[x]:
+                    out.add(f"{n} = {w[: x - 1]}{w[x]}{w[x - 1]}{w[x + 1 :]}")
+    return out
+
+
+def _keyed(keys):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [sorted(keys(w)) for w in batch.column("word").to_pylist()]
+            kept = batch.take(pa.array([i for i, x in enumerate(each) for _ in x], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([k for x in each for k in x], pa.string())], names=[*kept.schema.names, "key"])
+
+    return run
 
 
 def _swapped(a: Column, b: Column) -> Column:
@@ -216,30 +249,51 @@ def _swapped(a: Column, b: Column) -> Column:
     )
 
 
-def similar(words: DataFrame) -> DataFrame:
-    """(a, b, n_b): pairs of different words of `words` (word, n) within one edit, by the segment join."""
-    n = F.length("word")
-    index = words.select(F.col("word").alias("b"), F.col("n").alias("n_b"), F.explode(_keys(F.col("word"), n, n)).alias("key"))
-    sizes = words.select("word", "n", F.explode(F.array(n - 1, n, n + 1)).alias("size"))
-    probe = sizes.select(F.col("word").alias("a"), F.col("n").alias("n_a"), F.explode(_keys(F.col("word"), F.col("size"), n)).alias("key"))
+def similar(words: DataFrame, most: int = 2) -> DataFrame:
+    """(a, n_a, b, n_b, d): pairs of different words of `words` (word, n) within `edits`, or `most` if that is less, by the segment join.
+
+    d is how many edits lie between them.
+    """
+    slim = words.select("word", "n")
+    schema = "word string, n bigint, key string"
+    index = slim.mapInArrow(_keyed(_index_keys), schema).select(F.col("word").alias("b"), F.col("n").alias("n_b"), "key")
+    probe = slim.mapInArrow(_keyed(_probe_keys), schema).select(F.col("word").alias("a"), F.col("n").alias("n_a"), "key")
     a, b = F.col("a"), F.col("b")
-    found = probe.join(index, "key").where((a != b) & (F.abs(F.length(a) - F.length(b)) <= 1))
+    # candidates once each, before they are verified
+    found = probe.join(index, "key").where(a != b).groupBy("a", "n_a", "b", "n_b").agg(F.lit(1).alias("_one")).drop("_one")
+    k = F.when(F.least(F.length(a), F.length(b)) >= 12, most).otherwise(1)
     close = F.levenshtein(a, b, 2)
     swap = (F.length(a) == F.length(b)) & (close == 2) & _swapped(a, b)
-    return found.where((close == 1) | ((close == 2) & swap)).select("a", "n_a", "b", "n_b").distinct()
+    return found.where((close >= 1) & ((close <= k) | swap)).withColumn("d", F.when(swap, 1).otherwise(close))
 
 
-def canonical(words: DataFrame, least: int = 5, ratio: float = 1.0) -> DataFrame:
+def canonical(words: DataFrame, ratio: float = 1.0, least: int = 1, most: int = 2) -> DataFrame:
     """(word, canon) of the words of `words` (word, n) whose most frequent neighbour is more frequent.
 
-    Words shorter than `least` letters stay as they are, and those whose neighbour isn't `ratio` times as
-    frequent. Of equally frequent words the first in order counts as the more frequent.
+    Words of fewer than `least` letters stay as they are, and those whose neighbour isn't `ratio` times as frequent.
+    Of equally frequent words the first in order counts as the more frequent. If `words` has letters, the initials
+    of those who bear a word, a word that three different initials go with stays as it is, and so does one that shares
+    no initial with its neighbour, if both have any; words of four letters or fewer, or two edits away, must share one, and
+    be much rarer. Nearer neighbours come before more frequent ones.
+    Chains of neighbours are followed to their end.
     """
-    near_by = similar(words.where(F.length("word") >= least))
-    near_by = near_by.where(F.col("n_b") >= ratio * F.col("n_a"))
+    near_by = similar(words.where(F.length("word") >= least), most).where(F.col("n_b") >= ratio * F.col("n_a"))
     better = near_by.where((F.col("n_b") > F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a"))))
-    top = better.groupBy("a").agg(F.max(F.struct("n_b", F.col("b"))).alias("top"))
-    return top.select(F.col("a").alias("word"), F.col("top.b").alias("canon"))
+    if "letters" in words.columns:
+        of = words.select("word", "letters")
+        better = better.join(of.withColumnsRenamed({"word": "a", "letters": "la"}), "a").join(of.withColumnsRenamed({"word": "b", "letters": "lb"}), "b")
+        share = F.arrays_overlap("la", "lb")
+        short = (F.least(F.length("a"), F.length("b")) <= 4) | (F.col("d") > 1)
+        loose = share | (F.size("la") == 0) | (F.size("lb") == 0)
+        better = better.where((F.size("la") < 3) & F.when(short, share & (F.col("n_b") >= 3 * F.col("n_a"))).otherwise(loose))
+    top = better.groupBy("a").agg(F.max(F.struct(-F.col("d"), "n_b", "b")).alias("top"))
+    links = checkpointed(top.select(F.col("a").alias("word"), F.col("top.b").alias("canon")))
+    while True:  # each round halves what is left of a chain, and links lead to ever more frequent words
+        on = links.select(F.col("word").alias("canon"), F.col("canon").alias("further"))
+        further = links.join(on, "canon", "left")
+        if further.where("further is not null").limit(1).count() == 0:
+            return links
+        links = checkpointed(further.select("word", F.coalesce("further", "canon").alias("canon")))
 
 
 def _replaced(df: DataFrame, column: str, canon: DataFrame) -> DataFrame:
@@ -272,21 +326,26 @@ def entities(names: DataFrame) -> DataFrame:
     s = s.where("form <> 'two'").unionByName(two.drop("l", "g"))
 
     # misspelt family names and telling words of organisations
-    words = s.groupBy(F.col("family").alias("word")).agg(F.sum("n").alias("n")).where("word <> ''")
-    fixed = checkpointed(canonical(words))
-    s = _replaced(_replaced(s, "family", fixed), "family", fixed)
+    letter = F.left(F.concat("given", "initials"), F.lit(1))
+    words = s.where("family <> ''").groupBy(F.col("family").alias("word")).agg(F.sum("n").alias("n"), F.collect_set(F.nullif(letter, F.lit(""))).alias("letters"))
+    s = _replaced(s, "family", canonical(words))
 
     # misspelt given names: against the given names of all, then within a family
     given = s.where("given <> ''").groupBy(F.col("given").alias("word")).agg(F.sum("n").alias("n"))
-    s = _replaced(s, "given", canonical(given, ratio=5.0))
+    s = _replaced(s, "given", canonical(given, ratio=20.0, least=5))
     nick = F.create_map(*[F.lit(x) for k, v in NICK.items() for x in (k, " ".join(v))])
     s = s.withColumn("formal", F.when(F.col("given") != "", nick[F.col("given")]))
     s = checkpointed(s)
     whole = F.concat_ws(" ", "family", "given")
     full = s.where("form = 'full' and formal is null").select("name", "cited", "family", "given", whole.alias("whole"), "n")
     people = full.groupBy(F.col("whole").alias("word")).agg(F.sum("n").alias("n"))
-    fixed = canonical(people)
-    full = _replaced(full, "whole", fixed)
+    # a given name about as frequent as the neighbour's is another name
+    first = lambda c: F.substring_index(c, " ", -1)
+    often = checkpointed(full.groupBy("given").agg(F.sum("n").alias("often")))
+    fixed = canonical(people, most=1).withColumns({"ga": first(F.col("word")), "gb": first(F.col("canon"))})
+    fixed = fixed.join(often.withColumnsRenamed({"given": "ga", "often": "oa"}), "ga", "left").join(often.withColumnsRenamed({"given": "gb", "often": "ob"}), "gb", "left")
+    fixed = fixed.where((F.col("ga") == F.col("gb")) | (F.coalesce("oa", F.lit(0)) * 20 <= F.coalesce("ob", F.lit(0))) | (F.coalesce("oa", F.lit(0)) <= 2))
+    full = _replaced(full, "whole", fixed.select("word", "canon"))
     persons = checkpointed(
         full.groupBy("whole").agg(F.sum("n").alias("n")).select("whole", "n", F.expr("substring_index(whole, ' ', -1)").alias("given"), F.expr("left(whole, length(whole) - length(substring_index(whole, ' ', -1)) - 1)").alias("family"))
     )

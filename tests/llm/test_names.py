@@ -24,12 +24,48 @@ def test_no_names():
     assert names.parse("[12, 13]", True) is None and names.parse("", False) is None and names.parse("...", False) is None
 
 
+def within(a, b):
+    """Whether b is within the edits a word may have, or a swap of neighbours away."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        row, old = [i + 1], row
+        for j, y in enumerate(b):
+            row.append(min(old[j] + (x != y), old[j + 1] + 1, row[j] + 1))
+    swap = any(a[:i] + a[i + 1] + a[i] + a[i + 2 :] == b for i in range(len(a) - 1))
+    return row[-1] <= names.edits(min(len(a), len(b))) or swap
+
+
 def test_segment_join_like_brute_force(spark):
     rng = random.Random(3)
-    words = {"".join(rng.choice("abc") for _ in range(rng.randrange(3, 9))) for _ in range(250)}
+    words = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(250)}
+    long = {"".join(rng.choice("abcdefgh") for _ in range(rng.randrange(11, 15))) for _ in range(40)}
+    for w in sorted(long):  # neighbours by one and two edits, also across segments
+        for _ in range(4):
+            x = list(w)
+            for _ in range(rng.randrange(1, 3)):
+                i = rng.randrange(len(x))
+                x[i : i + rng.randrange(2)] = rng.choice(["", "z", "ab"])
+            long.add("".join(x))
+        i = rng.randrange(len(w) - 1)
+        long.add(w[:i] + w[i + 1] + w[i] + w[i + 2 :])
+    words |= long - {""}
     df = spark.createDataFrame([(w, i % 7 + 1) for i, w in enumerate(sorted(words))], "word string, n long").repartition(4)
     got = {(r.a, r.b) for r in names.similar(df).collect()}
-    assert got == {(a, b) for a in words for b in words if a != b and names.near(a, b)}
+    assert got == {(a, b) for a in words for b in words if a != b and within(a, b)}
+
+
+def test_neighbours_that_are_names_of_their_own(spark):
+    """Family names one edit apart that different people bear aren't merged, whichever is the more frequent."""
+    people = ["Wei Zhang", "Min Zhang", "Li Zhang", "Emily Chang", "Susan Chang", "Ming Chang", "Piet Jansen", "Anna Janssen", "Olga Martin", "Igor Marlin", "Hao Zhong"] * 3
+    a = names.author_names(spark.createDataFrame([(x,) for x in people], "authors string"), "authors").withColumn("cited", F.lit(False))
+    assert names.variants(a).count() == 0
+
+
+def test_short_names_and_chains(spark):
+    rows = [("Wei Chen", 12), ("Wei Chne", 1), ("Bo Kim", 9), ("Bo Kmi", 1), ("Al Kin", 5), ("Rosa Abcdefgh", 9), ("Rosa Abcdefg", 4), ("Rosa Abcdef", 1)]
+    df = spark.createDataFrame([(n,) for n, k in rows for _ in range(k)], "authors string")
+    got = {(r.name_a, r.name_b) for r in names.variants(names.author_names(df, "authors").withColumn("cited", F.lit(False))).collect()}
+    assert got == {("Wei Chen", "Wei Chne"), ("Bo Kim", "Bo Kmi"), ("Rosa Abcdefg", "Rosa Abcdefgh"), ("Rosa Abcdef", "Rosa Abcdefg"), ("Rosa Abcdef", "Rosa Abcdefgh")}
 
 
 def test_clusters(spark):
