@@ -1,9 +1,10 @@
 """One consistent form for texts that look the same, and the pairs of rows that agree only in it.
 
 The form: compatibility mappings of width, no-break and ligature characters, composed accents, look-alike
-letters of other scripts made Latin, white space mapped to the space, default-ignorable characters removed, and
-(if asked for) full case folding. Raised figures, line breaks, runs of spaces and accents stay. Each distinct
-value of a batch is formed once.
+letters of other scripts made Latin (with accents too, composed or not), white space mapped to the space,
+default-ignorable characters removed, and (if asked for) full compatibility mapping and full case folding, after which
+letters are composed again. Otherwise raised figures stay; line breaks, runs of spaces and accents always do. Each
+distinct value of a batch is formed once.
 
 Defined results: a null text has a null form and no pair; blank texts have no pair; rows repeated in the input
 count once; equal code points make no pair.
@@ -48,6 +49,11 @@ def _table() -> dict[int, str]:
         if unicodedata.category(c) == "Zs":
             out[o] = " "
     out.update({ord(k): v for k, v in LOOK_ALIKE.items()})
+    # look-alikes with accents, composed: the letter is mapped as if it were decomposed
+    for o in (*range(0x370, 0x530), *range(0x1F00, 0x2000)):
+        base, *marks = unicodedata.normalize("NFD", chr(o))
+        if marks and base in LOOK_ALIKE:
+            out[o] = LOOK_ALIKE[base] + "".join(marks)
     for first, last in IGNORABLE:
         out.update(dict.fromkeys(range(first, last + 1), ""))
     out[0x2011] = "-"  # no-break hyphen
@@ -55,20 +61,28 @@ def _table() -> dict[int, str]:
 
 
 TABLE = _table()
-def form(text: str | None, fold_case: bool = False) -> str | None:
-    """The consistent form of one text."""
+
+
+def form(text: str | None, fold_case: bool = False, compatible: bool = False) -> str | None:
+    """The consistent form of one text; with `compatible`, raised figures, circled letters, units and the like are made plain too."""
     if text is None:
         return None
     if not text.isascii():
+        if compatible:
+            text = unicodedata.normalize("NFKC", text)
         text = unicodedata.normalize("NFC", text.translate(TABLE))
-    return text.casefold() if fold_case else text
+    if not fold_case:
+        return text
+    # folding may decompose, and give letters that look like others
+    text = text.casefold()
+    return text if text.isascii() else unicodedata.normalize("NFC", text.translate(TABLE))
 
 
-def _former(fold_case: bool):
+def _former(fold_case: bool, compatible: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             coded = batch.column(batch.num_columns - 1).dictionary_encode()
-            formed = pa.array([form(t, fold_case) for t in coded.dictionary.to_pylist()], pa.string())
+            formed = pa.array([form(t, fold_case, compatible) for t in coded.dictionary.to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], formed.take(coded.indices)], names=[*batch.schema.names[:-1], "form"]
             )
@@ -76,10 +90,10 @@ def _former(fold_case: bool):
     return run
 
 
-def forms(df: DataFrame, keys: list[str], text: str, fold_case: bool = False) -> DataFrame:
+def forms(df: DataFrame, keys: list[str], text: str, fold_case: bool = False, compatible: bool = False) -> DataFrame:
     """The keys and the consistent form of each row's text."""
     slim = df.select(*keys, F.col(text).alias("form"))
-    return slim.mapInArrow(_former(fold_case), slim.schema)
+    return slim.mapInArrow(_former(fold_case, compatible), slim.schema)
 
 
 def _digests(fold_case: bool):
@@ -105,7 +119,7 @@ def alike(df: DataFrame, side: Column, row_id: Column, text: Column, fold_case:
     """(side, id_a, id_b) of the rows of one side whose texts differ but have the same form.
 
     Only digests are shuffled. Spellings are paired first, then their rows are joined to them, the rarer
-    spelling before the more frequent one; the rows of a frequent spelling are spread over salts by their
+    spelling before the more frequent one; the rows of a frequent spelling on either side are spread over salts by their
     count, so that a heading that every paper has doesn't fall to one task.
     """
     slim = df.where(text.isNotNull()).select(side.alias("side"), row_id.cast("bigint").alias("id"), text.alias("text"))
@@ -113,22 +127,19 @@ def alike(df: DataFrame, side: Column, row_id: Column, text: Column, fold_case:
     rows = checkpointed(rows.distinct())  # it is read three times
     spellings = rows.groupBy("side", "key", "raw").agg(F.count("*").alias("n"))
     several = spellings.groupBy("side", "key").agg(F.count("*").alias("spellings")).where("spellings > 1").select("side", "key")
-    spellings = spellings.join(several, ["side", "key"])
-    held = rows.join(several, ["side", "key"], "left_semi")
+    spellings = checkpointed(spellings.join(several, ["side", "key"]))  # those with a partner only, a small part of all
     a = spellings.select("side", "key", F.col("raw").alias("raw_a"), F.col("n").alias("n_a"))
     b = spellings.select("side", "key", F.col("raw").alias("raw_b"), F.col("n").alias("n_b"))
     # each pair of spellings once, the rarer one first
     rarer = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("raw_a") < F.col("raw_b")))
     two = a.join(b, ["side", "key"]).where(rarer & (F.col("raw_a") != F.col("raw_b")))
-    salts = F.ceil(F.col("n_b") / rows_a_salt).cast("int")
-    two = two.select("side", "raw_a", "raw_b", salts.alias("salts"))
-    few = held.select("side", F.col("raw").alias("raw_a"), F.col("id").alias("id_few"))
-    many = held.join(two.select("side", F.col("raw_b").alias("raw"), "salts").distinct(), ["side", "raw"]).select(
-        "side", F.col("raw").alias("raw_b"), F.col("id").alias("id_many"), F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt")
-    )
-    left = two.join(few, ["side", "raw_a"]).select(
-        "side", "raw_b", "id_few", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
-    )
-    return left.join(many, ["side", "raw_b", "salt"]).select(
+    parts = lambda n: F.ceil(F.col(n) / rows_a_salt).cast("int")
+    salts = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+    two = two.select("side", "raw_a", "raw_b", "n_b", salts("n_a").alias("salt_a"))
+    held = rows.join(spellings.select("side", "raw", "n"), ["side", "raw"]).select("side", "raw", "id", F.pmod(F.xxhash64("id"), parts("n")).cast("int").alias("salt"))
+    few = held.select("side", F.col("raw").alias("raw_a"), F.col("salt").alias("salt_a"), F.col("id").alias("id_few"))
+    many = held.select("side", F.col("raw").alias("raw_b"), F.col("salt").alias("salt_b"), F.col("id").alias("id_many"))
+    left = two.join(few, ["side", "raw_a", "salt_a"]).select("side", "raw_b", "id_few", salts("n_b").alias("salt_b"))
+    return left.join(many, ["side", "raw_b", "salt_b"]).select(
         "side", F.least("id_few", "id_many").alias("id_a"), F.greatest("id_few", "id_many").alias("id_b")
     ).where("id_a < id_b").distinct()

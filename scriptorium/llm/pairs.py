@@ -33,7 +33,7 @@ NOTHING = frozenset(
 )
 # Words that are the same in English and in another language, as headings have them.
 SHARED = {"fr": frozenset("introduction conclusion discussion conclusions discussions".split())}
-# Phrases by which a model declines. A phrase counts where it opens a sentence of the response.
+# Phrases by which a model declines. A phrase counts where it opens a sentence of the response, whichever.
 REFUSALS = """
 i'm sorry, but i|i am sorry, but i|my apologies, |i must decline|i have to decline|i won't be able to|i will not be able to
 i can't comply|i cannot comply|i can't help with|i cannot help with|i can't assist|i cannot assist|i'm not able to|i am not able to
@@ -80,18 +80,31 @@ def fold(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+#: What ends a sentence before a phrase: a final mark, perhaps closed and opened again, or the line.
+OPENED = re.compile(r"(?:^|[.!?。！？｡…\n])[\"'“”’‘«»「」『』()（）\s]*$")
+# What after a phrase says that the authors speak and not the one who answers.
+PLURAL = ("们", "們")
+
+
 def refuses(response: str | None) -> bool:
-    """Whether the response declines: a phrase of refusal opens it."""
+    """Whether the response declines: a phrase of refusal opens it or any of its sentences, however long it is."""
     if not response:
         return False
-    t = fold(response)
-    t = LABEL.sub("", t).lstrip("\"'“”«» 「『(（")
-    for end, size in PHRASES.iter(t[:400]):
-        if end + 1 == size or t[end + 1 - size : end + 1] in INSIDE:
+    t = response if response.isascii() else drop_invisible(plain(response)).replace("’", "'")
+    t = LABEL.sub("", t.lower()).lstrip("\"'“”«» 「『(（")
+    spaced = SPACES.sub(lambda m: "\n" if "\n" in m[0] else " ", t)
+    for end, size in PHRASES.iter(spaced):
+        at = end + 1 - size
+        if spaced[at : end + 1] in INSIDE:
+            return True
+        if OPENED.search(spaced, max(0, at - 8), at) and (at == 0 or not spaced.startswith(PLURAL, end + 1)):
             return True
     return False
 
 
+SPACES = re.compile(r"\s+")
+
+
 class SuffixAutomaton:
     """All substrings of one text, for walking another along it."""
 
@@ -141,18 +154,24 @@ class SuffixAutomaton:
         return total
 
 
+#: Letters from which on a verbatim part of the prompt is a copy, if little else is said.
+PART = 40
+
+
 def copied(prompt: str, response: str) -> bool:
-    """Whether the response gives back the prompt: nearly all of it, and most of the prompt, is in long matches."""
+    """Whether the response gives back the prompt, by how much of it lies in long matches.
+
+    It does if nearly all of it is copied, and with it most of the prompt or at least PART letters; or if nearly all of the
+    prompt stands in it, whatever follows. Matches are looked for at every length of either.
+    """
     a, b = fold(prompt), LABEL.sub("", fold(response))
     if not a or not b:
         return False
     if a == b:
         return True
-    if len(b) < 0.5 * len(a) or len(b) > 3 * len(a) + 20:
-        return False
     least = max(3, min(16, len(a) // 3))
     got = SuffixAutomaton(a).covered(b, least)
-    return got >= 0.9 * len(b) and got >= 0.6 * len(a) or got >= 0.93 * len(a)
+    return got >= 0.9 * len(b) and got >= min(0.6 * len(a), PART) or got >= 0.93 * len(a) and (len(b) <= 3 * len(a) + 20 or a in b)
 
 
 SYMBOLS = re.compile(r"[A-Z][\w]*(?:[-–]\w+)*|v?\d[\d.]*|[^\w\s]|\s")

@@ -39,8 +39,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The consistent form of every text, with full case folding, for comparisons that ignore case."""
-    return forms.forms(_texts(spark, sf_dir), ["side", "row_id"], "text", fold_case=True).distinct()
+    """The consistent form of every text, with full compatibility mapping and case folding, for comparisons that ignore both."""
+    return forms.forms(_texts(spark, sf_dir), ["side", "row_id"], "text", fold_case=True, compatible=True).distinct()
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,10 @@ from scriptorium.sources import table
 BROADCAST_ROWS = 2_000_000
 
 
+#: Rows that one task of a join of texts gets, about.
+ROWS_A_TASK = 50_000
+
+
 def joined(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
     """Inner join that broadcasts `small` only if a count shows it to be small enough."""
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -42,6 +46,6 @@ def translated(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     t = t.select(F.col("id").alias("row_id"), "job_id", "unit_id", *tgt)
     u = table(spark, sf_dir, "translation_units").select(F.col("id").alias("unit_id"), *src)
     j = table(spark, sf_dir, "translation_jobs").select(F.col("id").alias("job_id"), F.col("language").alias("lang"))
-    # both sides are dealt out by the join's key, so the join adds no shuffle, and into enough parts
-    n = width(spark)
+    # both sides are dealt out by the join's key, so the join adds no shuffle; the number of parts grows with the table
+    n = max(width(spark), -(-table(spark, sf_dir, "translations").count() // ROWS_A_TASK))
     return joined(t, j, "job_id").repartition(n, "unit_id").join(u.repartition(n, "unit_id"), "unit_id")

@@ -16,6 +16,21 @@ def test_form():
     assert form("a\n b") == "a\n b" and form("naïve") != form("naive") and form(None) is None and form("") == ""
 
 
+def test_composed_and_decomposed_agree():
+    import unicodedata
+
+    for text in ("ёлка", "ό", "їжа", "ѐ", "Ё é ﬁ", "ἀ", "ΐ", "Å", "が", "각"):
+        forms_of = {form(unicodedata.normalize(k, text)) for k in ("NFC", "NFD")}
+        assert len(forms_of) == 1, text
+        assert len({form(unicodedata.normalize(k, text), True, True) for k in ("NFC", "NFD", "NFKC", "NFKD")}) == 1, text
+    assert form("ё") == form("ë") and form("ё") != form("e")
+
+
+def test_full_compatibility():
+    assert [form(x, True, True) for x in ("①", "㎏", "Ⅳ", "℃", "10³", "ẞ", "ﬀ")] == ["1", "kg", "iv", "°c", "103", "ss", "ff"]
+    assert form("①") == "①" and form("İ", True) == form("i̇", True)
+
+
 def test_pairs_like_brute_force(spark):
     rng = random.Random(4)
     rows = []

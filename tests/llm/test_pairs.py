@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from scriptorium.llm.pairs import SuffixAutomaton, defect, defects
+from scriptorium.llm.pairs import SuffixAutomaton, copied, defect, defects, refuses
 
 SRC = "We train X-1 on 12 samples. The detector depends strongly on the cache."
 
@@ -36,6 +36,20 @@ def test_answers(answer, lang, want):
     assert defect("qa", "What is known of the cache?", answer, lang) == want
 
 
+def test_refusals_anywhere():
+    assert refuses("Thank you. I'm sorry, but I can't help with this.")
+    assert refuses("The cache is small. " * 60 + "I cannot answer this question.") and refuses("好的。\n我无法回答这个问题。")
+    assert not refuses("He said that I cannot answer this.") and not refuses("探测器很小。很遗憾，我们无法分享数据。")
+    assert not refuses("") and not refuses(None)
+
+
+def test_copies_of_every_length():
+    prompt = "We train the model on many samples drawn from the corpus, and the detector depends strongly on the cache."
+    assert copied(prompt, prompt[: len(prompt) // 2]) and copied(prompt, prompt + " and so it goes on and on" * 60)
+    assert copied(prompt, prompt.upper()) and not copied(prompt, "the cache") and not copied(prompt, "Nous entraînons le modèle.")
+    assert not copied(prompt, "The cache is what it depends on, as was shown by all the experiments that were run there.")
+
+
 @given(st.text("abc", max_size=25), st.text("abc", max_size=25), st.integers(1, 5))
 def test_automaton_like_brute_force(prompt, response, least):
     marked = set()
