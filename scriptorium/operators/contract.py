@@ -1,50 +1,112 @@
 """Documents to units and back: structure stands as tokens in the text while it is translated.
 
-A profile says which elements are units of text, which inline elements become tokens, which are left out and
-which make sections. `units` gives a row a unit, `sections` a row a section, `rebuilt` writes texts back into
-the document, `structure` gives the keyed inline elements by which two versions of a document are compared.
-
-Defined results: a document that can't be parsed gives no rows, and comes back from `rebuilt` as null; blank units are left
-out; a token that a text lost leaves its element out, an unknown token stays as text.
+A profile says which elements are units of text, which inline elements become tokens, which are left out and which make
+sections. `units` gives a row a unit, `sections` a row a section, `rebuilt` writes texts back into the document,
+`elements` gives the keyed elements by which `fidelity` compares two versions of a document, plainly and by order.
+Systems other than the contract (`SYSTEMS`) give and take the units' raw XML, their bare text, or abstracts alone.
+
+Defined results: a null or empty document gives no rows, and comes back from `rebuilt` as null; so does one that can't be
+parsed, unless `tolerant` is set, in which case stray marks are escaped and open elements closed. Blank units are left
+out. A token that a text lost leaves its element out, one that it repeats repeats the element, an unknown one stays as
+text, and so does one whose fragment can't be parsed.
 """
 
 from __future__ import annotations
 
 import hashlib
+import html
 import re
 import xml.etree.ElementTree as ET
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from copy import deepcopy
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
+from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import SPECIAL
+from scriptorium.operators.statistics import kendall
 
-TOKEN = re.compile(r"\{\{PT_[A-Za-z]+_\d+\}\}")
-WORDS = re.compile(r"[㐀-鿿]|[^\W\d_]{3,}")
+ANY_TOKEN = re.compile(r"(\{\{[^{}]+\}\})")
+WORD = re.compile(r"[^\W\d_]{3,}")
+HAN = re.compile(r"[㐀-鿿]")
+SYSTEMS = ("contract", "raw_xml", "naive", "abstract")
 
 
 @dataclass(frozen=True)
 class Profile:
     """A dialect of documents, by local names of elements."""
 
-    units: tuple[str, ...]
-    inline: tuple[str, ...] = ()
-    skip: tuple[str, ...] = ()
-    sections: tuple[str, ...] = ()
-    title: str = "title"
-    cells: tuple[str, ...] = ()
-    key_attributes: tuple[str, ...] = ("id", "key", "href", "rid", "idref")
-
-
-LATEXML = Profile(("p", "title", "caption"), ("Math", "cite", "ref", "equation", "graphics", "note"), ("tag", "bibliography"), ("part", "chapter", "section", "subsection", "subsubsection", "appendix"))
-JATS = Profile(("p", "title", "article-title", "td", "th", "list-item"), ("xref", "inline-formula", "disp-formula", "ext-link", "uri", "email", "inline-graphic", "label"), ("ref-list",), ("sec", "app"), "title", ("td", "th"))
-HTML = Profile(("p", "h1", "h2", "h3", "li", "title", "td"), ("a", "br", "img", "code"), ("script", "style", "nav", "footer"), ("section", "article"), "h1", ("td",))
-PROFILES = {"latexml": LATEXML, "jats": JATS, "html": HTML}
+    kinds: dict[str, str] = field(hash=False)
+    kept: frozenset[str] = frozenset()  # become tokens
+    dropped: frozenset[str] = frozenset()  # left out with all below, what follows them stays
+    sections: frozenset[str] = frozenset()
+    titles: frozenset[str] = frozenset({"title"})
+    keys: tuple[str, ...] = ()  # attributes that say which element it is, the first present counts
+    annotations: frozenset[str] = frozenset()
+    formulas: frozenset[str] = frozenset()
+    #: With `blocks_kept`, what isn't inline formatting becomes a token too.
+    formatting: frozenset[str] = frozenset()
+    blocks_kept: bool = False
+    outermost: bool = False  # no unit within a unit, a kept or a dropped element
+    leaves: frozenset[str] = frozenset()  # units only if no unit is below them and they are prose
+    cells: frozenset[str] = frozenset()  # whatever is in them must be prose
+    abstract: str | None = None  # units below such an element are of this kind
+    canonical: bool = False  # contents are compared in canonical form
+
+
+def _set(names: str) -> frozenset[str]:
+    return frozenset(names.split())
+
+
+# The elements of two XML dialects of papers and of HTML, as their standards name them.
+LATEXML = Profile(
+    kinds={"p": "paragraph", "title": "title", "caption": "caption"},
+    kept=_set("Math math XMRef autoref bibref bibrefphrase break cite eqref footnote indexmark label pageref ref tag url"),
+    dropped=_set(
+        "XMath bibblock bibitem bibliography biblist creator enumerate equation figure graphics itemize pagination picture resource "
+        "table tabular tags tbody td thead toccaption toctitle tr"
+    ),
+    sections=_set("appendix chapter paragraph part section subsection subsubsection"),
+    titles=_set("title toctitle"),
+    keys=("tex", "bibrefs", "labelref", "idref", "href", "key"),
+    annotations=_set("Math XMRef autoref bibref bibrefphrase cite eqref equation indexmark label math pageref ref tag url"),
+    formulas=_set("Math equation"),
+)
+JATS = Profile(
+    kinds={"p": "paragraph", "title": "title", "article-title": "title", "td": "table_cell", "th": "table_cell", "list-item": "list_item"},
+    kept=_set("disp-formula email ext-link inline-formula inline-graphic label math uri xref"),
+    sections=_set("sec"),
+    keys=("rid", "ref-type", "href", "id"),
+    annotations=_set("email ext-link inline-graphic label uri xref"),
+    formulas=_set("disp-formula inline-formula"),
+    formatting=_set("abbrev bold break italic monospace named-content overline roman sans-serif sc strike styled-content sub sup underline x"),
+    blocks_kept=True,
+    outermost=True,
+    leaves=_set("list-item td th"),
+    cells=_set("td th"),
+    canonical=True,
+)
+HTML = Profile(
+    kinds={"p": "paragraph", "h1": "title", "h2": "section_heading", "h3": "section_heading", "h4": "section_heading", "title": "title", "figcaption": "caption", "li": "list_item", "td": "table_cell", "th": "table_cell"},
+    kept=_set("a br code img math svg"),
+    dropped=_set("footer nav noscript script style"),
+    sections=_set("article section"),
+    titles=_set("h1 h2 h3 h4"),
+    keys=("href", "src", "id"),
+    annotations=_set("a code img"),
+    formulas=_set("math"),
+    outermost=True,
+    leaves=_set("li td th"),
+    cells=_set("td th"),
+    canonical=True,
+)
+#: The older way of the first dialect: what stands below an abstract is one.
+LATEXML_ABSTRACT = replace(LATEXML, abstract="abstract")
+PROFILES = {"latexml": LATEXML, "jats": JATS, "html": HTML, "latexml_abstract": LATEXML_ABSTRACT}
 
 
 def local(e: ET.Element) -> str:
@@ -53,212 +115,413 @@ def local(e: ET.Element) -> str:
 
 
 def walk(root: ET.Element) -> Iterator[tuple[ET.Element, str, tuple[ET.Element, ...]]]:
-    """Every element in document order with its path and its ancestors."""
-
-    def below(e: ET.Element, path: str, over: tuple[ET.Element, ...]) -> Iterator:
+    """Every element in document order with its path and its ancestors, at any depth."""
+    todo = [(root, "/" + local(root), ())]
+    while todo:
+        e, path, over = todo.pop()
         yield e, path, over
-        names = Counter(local(c) for c in e)
-        met: Counter = Counter()
+        names, met, below = Counter(map(local, e)), Counter(), []
         for c in e:
-            name = local(c)
-            if name:
+            if name := local(c):
                 met[name] += 1
-                step = f"/{name}[{met[name]}]" if names[name] > 1 else f"/{name}"
-                yield from below(c, path + step, (*over, e))
-
-    yield from below(root, "/" + local(root), ())
+                below.append((c, f"{path}/{name}[{met[name]}]" if names[name] > 1 else f"{path}/{name}", (*over, e)))
+        todo += reversed(below)
 
 
 def _outer(e: ET.Element) -> str:
-    c = deepcopy(e)
-    c.tail = None
-    return ET.tostring(c, encoding="unicode")
+    tail, e.tail = e.tail, None
+    out = ET.tostring(e, encoding="unicode")
+    e.tail = tail
+    return out
+
+
+def _inner(e: ET.Element) -> str:
+    return html.escape(e.text or "", quote=False) + "".join(ET.tostring(c, encoding="unicode") for c in e)
 
 
 def tokenized(e: ET.Element, profile: Profile) -> tuple[str, dict[str, str]]:
-    """The text of a unit with its inline elements as tokens, and what the tokens stand for."""
-    out: list[str] = []
-    held: dict[str, str] = {}
-
-    def text_of(x: ET.Element) -> None:
-        out.append(x.text or "")
-        for c in x:
-            name = local(c)
-            if name in profile.inline:
-                token = f"{{{{PT_{re.sub(r'[^A-Za-z]', '', name).upper()}_{len(held) + 1}}}}}"
-                held[token] = _outer(c)
-                out.append(token)
-            elif name and name not in profile.skip:
-                text_of(c)
-            out.append(c.tail or "")
-
-    text_of(e)
+    """The text of a unit with kept elements as tokens, and what the tokens stand for."""
+    out, held = [e.text or ""], {}
+    todo: list[ET.Element | str] = list(reversed(e))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        name = local(x)
+        if not name:
+            out.append(x.tail or "")
+        elif name in profile.kept or profile.blocks_kept and name not in profile.formatting and name not in profile.dropped:
+            token = f"{{{{PT_{name.upper().replace('-', '')}_{len(held) + 1}}}}}"
+            held[token] = _outer(x)
+            out += [token, x.tail or ""]
+        elif name in profile.dropped:
+            out.append(x.tail or "")
+        else:
+            out.append(x.text or "")
+            todo.append(x.tail or "")
+            todo += reversed(x)
     return "".join(out).strip(), held
 
 
 def prose(text: str) -> bool:
     """Whether a cell's text is worth a unit."""
-    if re.search(r"[㐀-鿿]", text):
-        return True
-    return bool(WORDS.search(text)) and sum(c.isalpha() for c in text) > sum(c.isdigit() for c in text)
+    return bool(HAN.search(text)) or bool(WORD.search(text)) and sum(map(str.isalpha, text)) > sum(map(str.isdigit, text))
 
 
-def find_units(root: ET.Element, profile: Profile) -> Iterator[tuple[ET.Element, str, str]]:
-    """Leaf units with their path and kind: no unit below them, no unit, skipped or inline element above."""
-    stops = {*profile.skip, *profile.inline}
+def find_units(root: ET.Element, profile: Profile) -> Iterator[tuple[ET.Element, str, str, bool]]:
+    """Units in document order: element, path, kind, and whether only prose counts."""
+    stops = (frozenset(profile.kinds) - profile.leaves) | profile.dropped | profile.kept
     for e, path, over in walk(root):
         name = local(e)
-        if name not in profile.units or any(local(o) in stops for o in over):
+        kind = profile.kinds.get(name)
+        if kind is None:
             continue
-        if any(local(d) in profile.units for d in e.iter() if d is not e):
+        above = {local(o) for o in over}
+        if profile.outermost and above & stops:
             continue
-        parent = local(over[-1]) if over else ""
-        kind = "section_heading" if name == profile.title and parent in profile.sections else name
-        yield e, path, kind
+        if name in profile.leaves and any(local(x) in profile.kinds for x in e.iter() if x is not e):
+            continue
+        if kind == "title" and over and local(over[-1]) in profile.sections:
+            kind = "section_heading"
+        if profile.abstract and profile.abstract in above and kind == "paragraph":
+            kind = profile.abstract
+        yield e, path, kind, name in profile.leaves or bool(above & profile.cells)
 
 
-def _parse(xml: str | None) -> ET.Element | None:
-    try:
-        return ET.fromstring(xml) if xml else None
-    except ET.ParseError:
+class _Mended(HTMLParser):
+    """Builds a tree of whatever tags come: closes what stays open, passes over what was never opened."""
+
+    VOID = _set("area base br col embed hr img input link meta source track wbr")
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.root = ET.Element("document")
+        self.open = [self.root]
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        tag = tag.rpartition(":")[2]
+        if tag in ("p", "li", "tr", "td", "th") and local(self.open[-1]) == tag:
+            self.open.pop()
+        e = ET.SubElement(self.open[-1], tag, {k.rpartition(":")[2]: v or "" for k, v in attrs})
+        if tag not in self.VOID:
+            self.open.append(e)
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        ET.SubElement(self.open[-1], tag.rpartition(":")[2], {k.rpartition(":")[2]: v or "" for k, v in attrs})
+
+    def handle_endtag(self, tag: str) -> None:
+        tag = tag.rpartition(":")[2]
+        if any(local(e) == tag for e in self.open[1:]):
+            while local(self.open.pop()) != tag:
+                pass
+
+    def handle_data(self, data: str) -> None:
+        e = self.open[-1]
+        if len(e):
+            e[-1].tail = (e[-1].tail or "") + data
+        else:
+            e.text = (e.text or "") + data
+
+
+NOT_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
+STRAY = re.compile(r"&(?!#?\w+;)|<(?![A-Za-z/!?])")
+
+
+def parsed(xml: str | None, tolerant: bool = False) -> ET.Element | None:
+    """The root of a document; None if there is none. `tolerant`: see the module's docstring."""
+    if not xml or not xml.strip():
         return None
+    try:
+        return ET.fromstring(xml)
+    except (ET.ParseError, ValueError):
+        if not tolerant:
+            return None
+    known = STRAY.sub(lambda m: html.escape(m[0]), NOT_XML.sub("", xml))
+    known = re.sub(r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[\da-fA-F]+);)\w+;", lambda m: html.escape(html.unescape(m[0])), known)
+    try:
+        return ET.fromstring(known)
+    except (ET.ParseError, ValueError):
+        mended = _Mended()
+        mended.feed(known)
+        mended.close()
+        root = mended.root
+        return root[0] if len(root) == 1 and not (root.text or "").strip() else root if len(root) else None
 
 
-def _units(xml: str | None, profile: Profile) -> list[tuple]:
-    root, out = _parse(xml), []
-    if root is None:
-        return out
-    for e, path, kind in find_units(root, profile):
-        text, held = tokenized(e, profile)
-        for raw, token in SPECIAL:
-            text = text.replace(raw, token)
-        plain = TOKEN.sub("", text)
-        for raw, token in SPECIAL:
-            plain = plain.replace(token, raw)
+def well_formed(xml: str | None) -> bool | None:
+    """Whether a document can be parsed; null for null."""
+    return None if xml is None else parsed(xml) is not None
+
+
+def special(text: str) -> tuple[str, dict[str, str]]:
+    """The text with line breaks, tabs and returns as tokens, and those it has."""
+    held = {token: raw for raw, token in SPECIAL if raw in text}
+    for token, raw in held.items():
+        text = text.replace(raw, token)
+    return text, held
+
+
+def _unit_text(e: ET.Element, profile: Profile, system: str) -> tuple[str, dict[str, str]]:
+    if system == "raw_xml":
+        return _inner(e).strip(), {}
+    if system == "naive":
+        return " ".join("".join(e.itertext()).split()), {}
+    return tokenized(e, profile)
+
+
+def _units(root: ET.Element, profile: Profile, system: str = "contract") -> Iterator[tuple]:
+    n = 0
+    for e, path, kind, guarded in find_units(root, profile):
+        if system == "abstract" and "abstract" not in path.lower():
+            continue
+        text, held = _unit_text(e, profile, system)
+        text, chars = special(text)
+        plain = text
+        for token in held:
+            plain = plain.replace(token, "")
+        for token in chars:
+            plain = plain.replace(token, " ")
         plain = " ".join(plain.split())
-        if not text or kind in profile.cells and not prose(plain):
+        if not text or guarded and not prose(plain):
             continue
-        out.append((len(out), kind, path, text, plain, held, len(plain)))
-    return out
+        n += 1
+        yield n, kind, path, text, plain, held, chars, len(plain)
 
 
-def _sections(xml: str | None, profile: Profile) -> list[tuple]:
-    root, out = _parse(xml), []
-    if root is None:
-        return out
+def _heading(e: ET.Element, profile: Profile) -> str | None:
+    title = next((c for c in e if local(c) in profile.titles), None)
+    if title is None:
+        return None
+    out = [title.text or ""]
+    todo = list(reversed(title))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif local(x) in profile.kept:
+            out += ["[…]", x.tail or ""]
+        else:
+            out.append(x.text or "" if local(x) else "")
+            todo.append(x.tail or "")
+            todo += reversed(x)
+    return "".join(out).strip() or None
+
+
+def _sections(root: ET.Element, profile: Profile) -> Iterator[tuple]:
     met: Counter = Counter()
     paths: dict[int, str] = {}
     for e, path, over in walk(root):
-        if local(e) not in profile.sections:
-            continue
-        above = [o for o in over if local(o) in profile.sections]
-        parent = paths[id(above[-1])] if above else None
-        paths[id(e)] = path
-        met[parent] += 1
-        title = next((c for c in e if local(c) == profile.title), None)
-        heading = None if title is None else " ".join("".join("[…] " if local(x) in profile.inline else (x.text or "") + " " for x in title.iter()).split())
-        out.append((path, parent, len(above), met[parent], heading))
+        if local(e) in profile.sections:
+            above = [o for o in over if local(o) in profile.sections]
+            parent = paths[id(above[-1])] if above else None
+            paths[id(e)] = path
+            met[parent] += 1
+            yield path, parent, len(above), met[parent], _heading(e, profile)
+
+
+def _fill(e: ET.Element, pieces: list[str | ET.Element]) -> None:
+    """Puts text and elements into an element in place of all that was there."""
+    tail, attributes = e.tail, dict(e.attrib)
+    e.clear()
+    e.tail = tail
+    e.attrib.update(attributes)
+    last = None
+    for x in pieces:
+        if not isinstance(x, str):
+            x.tail = None
+            e.append(x)
+            last = x
+        elif last is None:
+            e.text = (e.text or "") + x
+        else:
+            last.tail = (last.tail or "") + x
+
+
+def _loose(token: str) -> str:
+    return "".join(token.split()).lower()
+
+
+def _pieces(text: str, held: dict[str, str]) -> list[str | ET.Element]:
+    """A text cut at its tokens, which are known whatever their case and white space."""
+    known = {_loose(k): v for k, v in held.items()}
+    out: list[str | ET.Element] = []
+    for x in ANY_TOKEN.split(text):
+        fragment = known.get(_loose(x)) if x.startswith("{{") else None
+        e = parsed(fragment)
+        out.append(x if e is None else e)
     return out
 
 
-def _rebuilt(xml: str | None, texts: dict[str, str], profile: Profile) -> str | None:
-    root = _parse(xml)
+def _fragment(text: str) -> list[str | ET.Element] | None:
+    """A text that holds raw XML as text and elements; None if it can't be parsed."""
+    root = parsed(f"<w>{text}</w>")
     if root is None:
         return None
-    for e, path, _ in sorted(find_units(root, profile), key=lambda u: -u[1].count("/")):
-        if path not in texts or texts[path] is None:
+    children = list(root)
+    out: list[str | ET.Element] = [root.text or ""]
+    for c in children:
+        out += [c, c.tail or ""]
+    return out
+
+
+def _rebuilt(root: ET.Element, texts: dict[str, str], profile: Profile, system: str = "contract") -> str:
+    """The document with texts in place of its units', the deepest first.
+
+    "contract" and "abstract" put elements back by token; "raw_xml" parses what came back, or takes it as mere text;
+    "flat" replaces tokens in the string and parses the whole, or leaves bare text; "naive" takes all as text.
+    """
+    found = [(e, path) for e, path, _, _ in find_units(root, profile)]
+    for e, path in sorted(found, key=lambda u: -u[1].count("/")):
+        text = texts.get(path)
+        if text is None or system == "abstract" and "abstract" not in path.lower():
             continue
-        _, held = tokenized(e, profile)
-        text = texts[path]
+        held = tokenized(e, profile)[1]
         for raw, token in SPECIAL:
             text = text.replace(token, raw)
-        tail, attributes = e.tail, dict(e.attrib)
-        e.clear()
-        e.tail = tail
-        e.attrib.update(attributes)
-        last = None
-        for piece in re.split(f"({TOKEN.pattern})", text):
-            if piece in held:
-                last = ET.fromstring(held.pop(piece))
-                e.append(last)
-            elif last is None:
-                e.text = (e.text or "") + piece
-            else:
-                last.tail = (last.tail or "") + piece
+        if system == "naive":
+            _fill(e, [text])
+        elif system == "raw_xml":
+            _fill(e, _fragment(text) or [text])
+        elif system == "flat":
+            whole = text
+            for token, fragment in held.items():
+                whole = whole.replace(token, fragment)
+            _fill(e, _fragment(whole) or [re.sub(r"\s+", " ", ANY_TOKEN.sub("", text)).strip()])
+        else:
+            _fill(e, _pieces(text, held))
     return ET.tostring(root, encoding="unicode")
 
 
 def element_key(e: ET.Element, profile: Profile) -> str:
-    """What an inline element is compared by: a key attribute, or a digest of its content without ids."""
-    for a in profile.key_attributes[1:]:
-        for k, v in e.attrib.items():
-            if k.rpartition("}")[2] == a:
-                return f"{local(e)}:{a}={v}"
+    """What an element is known by: a key attribute, what a citation's references name, or a digest of its content without ids."""
+    named = {k.rpartition("}")[2]: v for k, v in reversed(list(e.attrib.items()))}
+    for a in profile.keys:
+        if named.get(a):
+            return f"{local(e)}:{a}={named[a]}"
+    if local(e) == "cite":
+        inner = [x.get("bibrefs", "") for x in e.iter() if local(x) == "bibref"]
+        if any(inner):
+            return f"cite:{'|'.join(inner)}"
     bare = deepcopy(e)
     bare.tail = None
     for x in bare.iter():
-        for k in [k for k in x.attrib if k.rpartition("}")[2] == "id"]:
+        for k in [k for k in x.attrib if k.endswith("}id")]:
             del x.attrib[k]
-    return f"{local(e)}:{hashlib.md5(ET.canonicalize(ET.tostring(bare, encoding='unicode'), strip_text=True).encode()).hexdigest()}"
+    raw = ET.tostring(bare, encoding="unicode")
+    return f"{local(e)}:{hashlib.md5((ET.canonicalize(raw) if profile.canonical else raw).encode()).hexdigest()}"
 
 
-def _structure(xml: str | None, profile: Profile) -> list[tuple]:
-    root, out = _parse(xml), []
-    if root is None:
-        return out
-    for e, path, over in walk(root):
-        if local(e) in profile.inline and not any(local(o) in profile.inline for o in over):
-            out.append((len(out), local(e), path, element_key(e, profile)))
-    return out
+def _elements(root: ET.Element, profile: Profile) -> Iterator[tuple]:
+    n = 0
+    for e, path, _ in walk(root):
+        name = local(e)
+        if name in profile.annotations or name in profile.formulas:
+            n += 1
+            yield n, name, path, element_key(e, profile), name in profile.annotations, name in profile.formulas
 
 
-def _each(docs: DataFrame, doc_id: str, xml: str, profile: str, work, columns: str) -> DataFrame:
-    p = PROFILES[profile]
+def _tags(root: ET.Element, profile: Profile) -> Iterator[tuple]:
+    yield from Counter(local(e) for e in root.iter() if local(e)).items()
+
+
+def _facts(root: ET.Element, profile: Profile) -> Iterator[tuple]:
+    """Title, Han letters that open body paragraphs, cross-references, formulas."""
+    titles = ["".join(e.itertext()).strip() for e in root.iter() if local(e) == "article-title"] + [x for e in root.iter() if local(e) == "title" if (x := "".join(e.itertext()).strip())]
+    body = next((e for e in root.iter() if local(e) == "body"), root)
+    han = sum(len(HAN.findall(e.text or "")) for e in body.iter() if local(e) == "p")
+    refs = sum(local(e) in profile.annotations - profile.formulas for e in root.iter())
+    yield (titles or ["Untitled"])[0], han, refs, sum(local(e) in profile.formulas for e in root.iter())
+
+
+def unique_ids(root: ET.Element) -> ET.Element:
+    """The same tree with repeated ids made different: the second gets ".dup1" and so on."""
+    met: Counter = Counter()
+    for e in root.iter():
+        for k in [k for k in e.attrib if k == "id" or k.endswith("}id")]:
+            v = e.attrib[k]
+            if met[v]:
+                e.attrib[k] = f"{v}.dup{met[v]}"
+            met[v] += 1
+    return root
+
+
+def _each(docs: DataFrame, doc_id: str, xml: str, columns: str, work: Callable[[ET.Element], Iterator[tuple]], tolerant: bool) -> DataFrame:
     names = [c.split()[0] for c in re.split(r",\s*(?![^<]*>)", columns)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(k, *r) for k, x in zip(f[doc_id], f[xml], strict=True) for r in work(x, p)]
+            rows = [(k, *r) for k, x in zip(f[doc_id], f[xml], strict=True) if (root := parsed(x, tolerant)) is not None for r in work(root)]
             yield pd.DataFrame(rows, columns=[doc_id, *names])
 
     return docs.select(doc_id, xml).mapInPandas(run, f"{doc_id} {dict(docs.dtypes)[doc_id]}, {columns}")
 
 
-def units(docs: DataFrame, doc_id: str, xml: str, profile: str) -> DataFrame:
-    """A row for each unit of text, in document order."""
-    return _each(docs, doc_id, xml, profile, _units, "ord int, kind string, xpath string, src_text string, src_plain string, placeholders map<string,string>, char_count int")
+UNIT_COLUMNS = "ord int, kind string, xpath string, src_text string, src_plain string, placeholders map<string,string>, special_chars map<string,string>, char_count int"
 
 
-def sections(docs: DataFrame, doc_id: str, xml: str, profile: str) -> DataFrame:
+def units(docs: DataFrame, doc_id: str, xml: str, profile: str, system: str = "contract", tolerant: bool = False) -> DataFrame:
+    """A row for each unit of text, in document order from 1, as a system of SYSTEMS gives it."""
+    p = PROFILES[profile]
+    return _each(docs, doc_id, xml, UNIT_COLUMNS, lambda root: _units(root, p, system), tolerant)
+
+
+def sections(docs: DataFrame, doc_id: str, xml: str, profile: str, tolerant: bool = False) -> DataFrame:
     """A row for each section, with its parent's path, depth, place among its siblings, and heading."""
-    return _each(docs, doc_id, xml, profile, _sections, "xpath string, parent_xpath string, depth int, ord int, heading string")
+    p = PROFILES[profile]
+    return _each(docs, doc_id, xml, "xpath string, parent_xpath string, depth int, ord int, heading string", lambda root: _sections(root, p), tolerant)
 
 
-def structure(docs: DataFrame, doc_id: str, xml: str, profile: str) -> DataFrame:
-    """A row for each outermost inline element with the key it is compared by."""
-    return _each(docs, doc_id, xml, profile, _structure, "pos int, tag string, xpath string, key string")
+def elements(docs: DataFrame, doc_id: str, xml: str, profile: str, tolerant: bool = False) -> DataFrame:
+    """A row for each element that is an annotation or a formula, with the key it is compared by."""
+    p = PROFILES[profile]
+    return _each(docs, doc_id, xml, "pos int, tag string, xpath string, key string, is_annotation boolean, is_formula boolean", lambda root: _elements(root, p), tolerant)
+
+
+def tags(docs: DataFrame, doc_id: str, xml: str, profile: str, tolerant: bool = False) -> DataFrame:
+    """(doc_id, tag, n): how often each element occurs."""
+    p = PROFILES[profile]
+    return _each(docs, doc_id, xml, "tag string, n int", lambda root: _tags(root, p), tolerant)
 
 
-def rebuilt(docs: DataFrame, texts: DataFrame, doc_id: str, xml: str, profile: str) -> DataFrame:
-    """(doc_id, xml) with `texts` (doc_id, xpath, text) in place of the units' own."""
+def facts(docs: DataFrame, doc_id: str, xml: str, profile: str, tolerant: bool = False) -> DataFrame:
+    """(doc_id, title, han, references, formulas): a row a document, for choosing documents."""
+    p = PROFILES[profile]
+    return _each(docs, doc_id, xml, "title string, han int, references int, formulas int", lambda root: _facts(root, p), tolerant)
+
+
+def rebuilt(docs: DataFrame, texts: DataFrame, doc_id: str, xml: str, profile: str, system: str = "contract", tolerant: bool = False) -> DataFrame:
+    """(doc_id, xml) with `texts` (doc_id, xpath, text) in place of the units' own, as a system puts them back."""
     p = PROFILES[profile]
     by_doc = texts.where(F.col("text").isNotNull()).groupBy(doc_id).agg(F.map_from_entries(F.collect_list(F.struct("xpath", "text"))).alias("_texts"))
     both = docs.select(doc_id, xml).join(by_doc, doc_id, "left")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = [_rebuilt(x, dict(t) if t is not None else {}, p) for x, t in zip(f[xml], f["_texts"], strict=True)]
+            out = []
+            for x, t in zip(f[xml], f["_texts"], strict=True):
+                root = parsed(x, tolerant)
+                out.append(None if root is None else _rebuilt(root, dict(t) if t is not None else {}, p, system))
             yield pd.DataFrame({doc_id: f[doc_id], "xml": out})
 
     return both.mapInPandas(run, f"{doc_id} {dict(docs.dtypes)[doc_id]}, xml string")
 
 
-def survival(source: DataFrame, target: DataFrame, doc_id: str) -> DataFrame:
-    """For each document, the share of the source's keyed elements that the target keeps, repeated ones counted.
+def fidelity(source: DataFrame, target: DataFrame, docs: DataFrame, doc_id: str) -> DataFrame:
+    """A row a document of `docs`: elements of the source, those kept, per cent kept, and order kept, of annotations and formulas.
 
-    A document without elements keeps all: 100.
+    `source` and `target` are from `elements`. Repeated keys are told apart by their number, so each counts once. A
+    document without elements keeps all: 100; order is 100 for one shared element and 0 for none.
     """
-    s = source.groupBy(doc_id, "key").agg(F.count("*").alias("ns"))
-    t = target.groupBy(doc_id, "key").agg(F.count("*").alias("nt"))
-    both = s.join(t, [doc_id, "key"], "left")
-    return both.groupBy(doc_id).agg(F.sum("ns").alias("elements"), F.sum(F.least("ns", F.coalesce("nt", F.lit(0)))).alias("kept")).withColumn("kept_percent", F.coalesce(F.try_divide(100.0 * F.col("kept"), F.col("elements")), F.lit(100.0)))
+    out = docs.select(doc_id).distinct()
+    for kind, share in (("annotation", "ppa"), ("formula", "mfr")):
+        n = F.row_number().over(Window.partitionBy(doc_id, "key").orderBy("pos"))
+        a = source.where(f"is_{kind}").select(doc_id, "key", F.col("pos").alias("a"), n.alias("k"))
+        b = target.where(f"is_{kind}").select(doc_id, "key", F.col("pos").alias("b"), n.alias("k"))
+        both = a.join(b, [doc_id, "key", "k"])
+        tau = kendall(both, [doc_id], "a", "b").select(doc_id, F.col("n").alias(f"{kind}s_kept"), (100 * F.col("tau")).alias("_tau"))
+        all_of = a.groupBy(doc_id).agg(F.count("*").alias(f"{kind}s"))
+        out = out.join(all_of, doc_id, "left").join(tau, doc_id, "left").fillna(0, [f"{kind}s", f"{kind}s_kept"])
+        percent = F.coalesce(F.try_divide(100.0 * F.col(f"{kind}s_kept"), F.col(f"{kind}s")), F.lit(100.0))
+        out = out.withColumns({share: percent, f"{share}_ordered": F.coalesce("_tau", F.lit(0.0))}).drop("_tau")
+    return out

@@ -87,3 +87,20 @@ def greedy_match(source: DataFrame, target: DataFrame, key: str, claim_id: str)
 def absent(candidates: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of `candidates` whose keys `present` lacks; null keys are never present."""
     return candidates.join(present.select(*keys).distinct(), keys, "left_anti")
+
+
+def bank(entries: DataFrame, term: str, rendering: str, order: list[Column]) -> DataFrame:
+    """(key, rendering) of a bank of terms: the first entry of each term, whatever its case."""
+    from scriptorium.operators.order import first_wins
+
+    return first_wins(entries.where(F.col(term).isNotNull()), F.lower(F.col(term)), order).select(F.lower(F.col(term)).alias("key"), F.col(rendering).alias("rendering"))
+
+
+def grounded(terms: DataFrame, term: str, banks: list[DataFrame]) -> DataFrame:
+    """`terms` with rendering and grounded_in: the first bank, from 1, that has the term; 0 and null if none has or it is an acronym."""
+    out = terms.withColumn("_key", F.when(~F.col(term).rlike("^[A-Z][A-Z0-9]+$"), F.lower(F.col(term))))
+    for n, b in enumerate(banks, 1):
+        out = out.join(b.select(F.col("key").alias("_key"), F.col("rendering").alias(f"_r{n}")), "_key", "left")
+    found = F.coalesce(*(F.col(f"_r{n}") for n in range(1, len(banks) + 1)))
+    which = F.coalesce(*(F.when(F.col(f"_r{n}").isNotNull(), n) for n in range(1, len(banks) + 1)), F.lit(0))
+    return out.withColumns({"rendering": found, "grounded_in": which}).drop("_key", *(f"_r{n}" for n in range(1, len(banks) + 1)))

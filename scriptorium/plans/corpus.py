@@ -12,7 +12,10 @@ from scriptorium.sources import table
 from scriptorium.streaming import events as stream
 
 #: Fields by the beginning of a category, in the order they are tried.
-FIELDS = (("cs", "Computer Science"), ("math", "Mathematics"), ("physics", "Physics"), ("q-bio", "Quantitative Biology"), ("stat", "Statistics"), ("eess", "Electrical Engineering"), ("econ", "Economics"))
+FIELDS = (
+    ("cs", "Computer Science"), ("math", "Mathematics"), ("physics", "Physics"), ("q-bio", "Quantitative Biology"), ("stat", "Statistics"), ("eess", "Electrical Engineering"), ("econ", "Economics"),
+    ("q-fin", "Quantitative Finance"), ("astro-ph", "Astrophysics"), ("cond-mat", "Condensed Matter"), ("gr-qc", "General Relativity"), ("hep", "High Energy Physics"), ("nlin", "Nonlinear Sciences"), ("nucl", "Nuclear Physics"), ("quant-ph", "Quantum Physics"),
+)
 
 
 def _manifest(spark, d):
@@ -150,7 +153,9 @@ def nation_revenue(spark, d):
 
 
 def customers_without_orders(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    """Customers without an order in the last year of orders."""
+    late = table(spark, d, "orders").where("o_orderdate >= timestamp'1998-01-01'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").join(late, "c_custkey", "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
 def events_tumbling(spark, d):
@@ -166,7 +171,8 @@ def events_sessions(spark, d):
 
 
 def token_bucket(spark, d):
-    return stream.token_bucket(table(spark, d, "events"), "event_type", "value", 0.05, 500.0)
+    out = stream.token_bucket(table(spark, d, "events"), "event_type", "value", 0.05, 500.0, 0.001)
+    return out.withColumns({"wait_s": F.round("wait_s", 3), "level": F.round("level", 3)})
 
 
 QUERIES = {f.__name__: f for f in (
@@ -178,7 +184,7 @@ _POOL = f"(select job_id, unit_id from {SQL_LATEST} where status <> 'fallback')"
 _ALLOC = f"""(with p as (select job_id, count(*) size from {_POOL} group by 1), e as (select *, sum(size) over () total, floor(200.0 * size / sum(size) over ())::bigint f, round(200.0 * size / sum(size) over () - floor(200.0 * size / sum(size) over ()), 9) rest from p), k as (select *, row_number() over (order by rest desc, job_id) r, 200 - sum(f) over () missing from e)
  select job_id, (case when total <= 200 then size else f + case when r <= missing and f < size then 1 else 0 end end)::bigint allocated from k)"""
 ORACLES = {
-    "field_of_category": "select id, case " + " ".join(f"when starts_with(main_category, '{p}') then '{n}'" for p, n in FIELDS) + " else 'Other' end field_name from papers",
+    "field_of_category": "select p.id, coalesce(max_by(f.name, length(f.prefix)), 'Other') field_name from papers p left join (values ('cs', 'Computer Science'), ('math', 'Mathematics'), ('physics', 'Physics'), ('q-bio', 'Quantitative Biology'), ('stat', 'Statistics'), ('eess', 'Electrical Engineering'), ('econ', 'Economics'), ('q-fin', 'Quantitative Finance'), ('astro-ph', 'Astrophysics'), ('cond-mat', 'Condensed Matter'), ('gr-qc', 'General Relativity'), ('hep', 'High Energy Physics'), ('nlin', 'Nonlinear Sciences'), ('nucl', 'Nuclear Physics'), ('quant-ph', 'Quantum Physics')) f(prefix, name) on left(p.main_category, length(f.prefix)) = f.prefix group by p.id",
     "most_cited_per_field": "with m as (select *, coalesce(nullif(citations, 0), -1) c, row_number() over (partition by arxiv_id order by coalesce(nullif(citations, 0), -1) desc, field, authors nulls first) r from arxiv_en2zh_manifest) select field, arxiv_id, c citations from (select *, row_number() over (partition by field order by c desc, arxiv_id) k from m where r = 1) where k <= 5",
     "tallies": "select license_label, count(*) n, count(distinct arxiv_id) papers, min(citations) least, max(citations) most, count_if(coalesce(doi, '') <> '' or coalesce(journal_ref, '') <> '') published from arxiv_en2zh_manifest group by license_label",
     "experiment_matrix": "select p.id paper_id, l.language, v.variant from papers p, (select distinct language from translation_jobs) l, (select distinct variant from translation_jobs) v where p.license_permissive",
@@ -199,8 +205,12 @@ ORACLES = {
     "conversion_screen": "select p.id, coalesce(n.units, 0) units, case when extract_status <> 'done' then 'failed' when coalesce(n.units, 0) = 0 then 'empty' else 'ok' end outcome from papers p left join (select paper_id, count(*) units from translation_units group by 1) n on n.paper_id = p.id",
     "price_summary": "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) sum_qty, round(sum(l_extendedprice), 2) sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) sum_net, round(avg(l_quantity), 6) avg_qty, count(*) n from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2",
     "nation_revenue": "select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) revenue from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey where r_name = 'ASIA' group by n_name",
-    "customers_without_orders": "select c_mktsegment, count(*) n from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey) group by 1",
+    "customers_without_orders": "select c_mktsegment, count(*) n from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_orderdate >= timestamp '1998-01-01') group by 1",
     "events_tumbling": "select time_bucket(interval 1 hour, ts) as start, time_bucket(interval 1 hour, ts) + interval 1 hour as \"end\", event_type, count(*) events, round(sum(value), 4) total from events group by 1, 2, 3",
     "events_sliding": "select s as start, s + interval 1 hour as \"end\", event_type, count(*) events, round(sum(value), 4) total from (select *, unnest([time_bucket(interval 30 minute, ts), time_bucket(interval 30 minute, ts) - interval 30 minute]) s from events) group by 1, 2, 3",
     "events_sessions": "with e as (select *, case when lag(ts) over w is null or ts - lag(ts) over w >= interval 30 minute then 1 else 0 end new from events window w as (partition by user_id order by ts, event_id)), r as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) k from e) select user_id, min(ts) as start, count(*) events from r group by user_id, k",
+    "token_bucket": """with recursive e as (select event_type, event_id, epoch_us(ts) / 1e6 t, least(coalesce(value, 0)::double, 500.0) c, row_number() over (partition by event_type order by ts, event_id) n from events),
+ b as (select event_type, event_id, n, t, 500.0::double - c tokens, 0.0::double calls, t now from e where n = 1
+ union all select event_type, event_id, n, t, least(500.0, tin + wait * 0.05) - c, least(1.0, cin + wait * 0.001) - 1, greatest(was, t) + wait from (select *, greatest(0.0, (c - tin) / 0.05, (1 - cin) / 0.001) wait from (select e.event_type, e.event_id, e.n, e.t, e.c, b.now was, least(500.0, b.tokens + greatest(0.0, e.t - b.now) * 0.05) tin, least(1.0, b.calls + greatest(0.0, e.t - b.now) * 0.001) cin from b join e on e.event_type = b.event_type and e.n = b.n + 1)))
+ select event_type, event_id, round(now - t, 3) wait_s, round(tokens, 3) as level from b""",
 }

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.fold import folded
+
 LATE = "30 minutes"
 
 
@@ -26,46 +28,55 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
-def _waits(frame: pd.DataFrame, level: float, at: float | None, rate: float, size: float) -> tuple[list, float, float | None]:
-    """What each request waits for and the level after it; the bucket fills steadily up to its size."""
-    out = []
-    for event_id, ts, cost in frame[["event_id", "t", "cost"]].itertuples(index=False):
-        cost = min(cost, size)
-        level = size if at is None else min(size, level + max(0.0, ts - at) * rate)
-        at = ts if at is None else max(at, ts)
-        wait = max(0.0, (cost - level) / rate)
-        level += wait * rate - cost
-        at += wait
-        out.append((int(event_id), float(at - ts), float(level)))
-    return out, level, at
-
+def _wait(state: tuple, event_id: int, t: float, cost: float, rate: float, size: float, requests: float) -> tuple[tuple, tuple]:
+    """The state after one request, and (wait_s, level): one bucket holds tokens, the other requests; both fill steadily.
 
-def token_bucket(events: DataFrame, key: str, cost: str, rate: float, size: float) -> DataFrame:
-    """(key, event_id, wait_s, level): how long each request of a key waits for its tokens, in order of time.
-
-    On a stream the bucket's level and time are the key's state, and events that come late wait from the time
-    the bucket has reached. A request for more than the bucket holds takes all of it.
+    A state is (tokens, requests, time reached); the buckets begin full. `requests` a second may come in, a minute's worth
+    at most at once, but one at least; 0 for any number.
+    """
+    tokens, calls, at = state
+    most = max(1.0, 60 * requests)
+    cost = min(cost, size)
+    if at is None:
+        tokens, calls, at = size, most, t
+    passed = max(0.0, t - at)
+    tokens, at = min(size, tokens + passed * rate), max(at, t)
+    wait = max(0.0, (cost - tokens) / rate)
+    if requests:
+        calls = min(most, calls + passed * requests)
+        wait = max(wait, (1 - calls) / requests)
+        calls = min(most, calls + wait * requests) - 1
+    tokens = min(size, tokens + wait * rate) - cost
+    at += wait
+    return (tokens, calls, at), (at - t, tokens)
+
+
+def token_bucket(events: DataFrame, key: str, cost: str, rate: float, size: float, requests: float = 0.0) -> DataFrame:
+    """(key, event_id, wait_s, level): how long each request of a key waits for its tokens, and its turn, in order of time.
+
+    On a table a key's requests stream through one task, none are held. On a stream the buckets are the key's state, and
+    events that come late wait from the time the buckets have reached. A request for more than the bucket holds takes all.
     """
     kind = dict(events.dtypes)[key]
     slim = events.select(key, "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.coalesce(F.col(cost).cast("double"), F.lit(0.0)).alias("cost"))
-    schema = f"{key} {kind}, event_id bigint, wait_s double, level double"
 
-    def frame(k, rows: list) -> pd.DataFrame:
-        return pd.DataFrame([(k, *r) for r in rows], columns=[key, "event_id", "wait_s", "level"])
+    def step(state: tuple, event_id: int, t: float, c: float) -> tuple[tuple, tuple]:
+        return _wait(state, event_id, t, c, rate, size, requests)
 
     if not events.isStreaming:
-        return slim.groupBy(key).applyInPandas(
-            lambda f: frame(f[key].iloc[0], _waits(f.sort_values(["t", "event_id"]), size, None, rate, size)[0]), schema
-        )
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        level, at = state.get if state.exists else (size, None)
-        rows = pd.concat(list(frames)).sort_values(["t", "event_id"])
-        out, level, at = _waits(rows, level, at, rate, size)
-        state.update((level, at))
-        yield frame(k[0], out)
-
-    return slim.groupBy(key).applyInPandasWithState(step, schema, "level double, at double", "append", "NoTimeout")
+        out = folded(slim, [key], [F.asc("t"), F.asc("event_id")], ["event_id", "t", "cost"], "wait_s double, level double", lambda: (size, 0.0, None), step)
+        return out.select(key, F.col("event_id").cast("bigint").alias("event_id"), "wait_s", "level")
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        now = state.get if state.exists else (size, 0.0, None)
+        out = []
+        for event_id, t, c in pd.concat(list(frames)).sort_values(["t", "event_id"])[["event_id", "t", "cost"]].itertuples(index=False):
+            now, (wait, level) = step(now, event_id, t, c)
+            out.append((k[0], int(event_id), float(wait), float(level)))
+        state.update(now)
+        yield pd.DataFrame(out, columns=[key, "event_id", "wait_s", "level"])
+
+    return slim.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, event_id bigint, wait_s double, level double", "tokens double, calls double, at double", "append", "NoTimeout")
 
 
 def batch_sessions(events: DataFrame, gap_s: int) -> DataFrame:

@@ -123,27 +123,6 @@ def test_quality(spark):
     assert [r.k for r in quality.orphans(d, p, "k", "k").collect()] == [2]
 
 
-XML = '<doc xmlns="urn:x"><section><title>One <ref idref="a"/></title><p>Text <Math id="m1">x</Math> goes <b>on</b>.</p><p> </p><section><title>Sub</title><p>More &amp; more <cite key="k"/></p></section></section></doc>'
-
-
-def test_contract(spark):
-    docs = spark.createDataFrame([(1, XML), (2, "<broken"), (3, None)], "doc int, xml string")
-    u = contract.units(docs, "doc", "xml", "latexml").orderBy("ord").collect()
-    assert [(r.kind, r.src_text) for r in u] == [
-        ("section_heading", "One {{PT_REF_1}}"), ("p", "Text {{PT_MATH_1}} goes on."), ("section_heading", "Sub"), ("p", "More & more {{PT_CITE_1}}"),
-    ]
-    s = contract.sections(docs, "doc", "xml", "latexml").orderBy("depth").collect()
-    assert [(r.depth, r.ord, r.parent_xpath is None) for r in s] == [(0, 1, True), (1, 1, False)]
-    same = spark.createDataFrame([(r.doc, r.xpath, r.src_text) for r in u], "doc int, xpath string, text string")
-    src = contract.structure(docs, "doc", "xml", "latexml")
-    back = contract.rebuilt(docs, same, "doc", "xml", "latexml")
-    assert {r.doc: r.xml is None for r in back.collect()} == {1: False, 2: True, 3: True}
-    assert contract.survival(src, contract.structure(back, "doc", "xml", "latexml"), "doc").first().kept_percent == 100.0
-    lost = same.withColumn("text", F.regexp_replace("text", r"\{\{PT_MATH_1\}\}", ""))
-    kept = contract.survival(src, contract.structure(contract.rebuilt(docs, lost, "doc", "xml", "latexml"), "doc", "xml", "latexml"), "doc").first()
-    assert (kept.elements, kept.kept) == (3, 2)
-
-
 def test_empty_tables(spark):
     e = spark.createDataFrame([], "k int, o int, s string")
     assert order.batches(e, ["k"], "o", "s").count() == 0
