@@ -108,3 +108,64 @@ def latex_tokens(c: Column) -> Column:
     """Citations, references, labels and formulas of LaTeX text, in this order of kinds."""
     kinds = (r"\\cite[a-z]*\*?(?:\[[^\]]*\])*\{[^}]*\}", r"\\(?:eq|c|auto|page)?ref\{[^}]*\}", r"\\label\{[^}]*\}", r"(?<!\\)\$[^$]+\$")
     return F.concat(*[F.regexp_extract_all(c, F.lit(k), F.lit(0)) for k in kinds])
+
+
+#: Names of languages by their code.
+LANGUAGE_NAMES = {"zh": "Chinese", "en": "English", "fr": "French", "es": "Spanish", "ja": "Japanese", "de": "German"}
+
+
+def language_name(code: Column) -> Column:
+    """A language's name; a code without one stands for itself."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in LANGUAGE_NAMES.items() for x in kv])[code], code)
+
+
+def base_name(model: Column) -> Column:
+    """A model's name without the date at its end."""
+    return F.regexp_replace(model, r"-[0-9]{4}-[0-9]{2}-[0-9]{2}$", "")
+
+
+def plain_id(c: Column) -> Column:
+    """An identifier without the archive's name before it or a version after it."""
+    return F.regexp_replace(F.regexp_replace(strip(c), r"(?i)^arxiv[-:]", ""), r"v[0-9]+$", "")
+
+
+def place_of(c: Column, surface: Column) -> Column:
+    """Where a string first stands in a text, from 0; null where it doesn't."""
+    return F.nullif(F.instr(c, surface), F.lit(0)) - 1
+
+
+def json_object(answer: Column) -> Column:
+    """The object in a model's answer: from the first brace to the last; null without any."""
+    return F.nullif(F.regexp_extract(answer, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def json_field(answer: Column, name: str) -> Column:
+    """A field of the object in a model's answer; null if it can't be read."""
+    return F.get_json_object(json_object(answer), f"$.{name}")
+
+
+def id_pairs(answer: Column) -> Column:
+    """array<struct(id, text)> of an answer [[id, text], ...]; ids may be strings of digits, others are left out, so are short entries."""
+    rows = F.coalesce(F.from_json(fenced(answer), "array<array<string>>"), F.array().cast("array<array<string>>"))
+    pairs = F.transform(F.filter(rows, lambda x: F.size(x) >= 2), lambda x: F.struct(x[0].try_cast("bigint").alias("id"), x[1].alias("text")))
+    return F.filter(pairs, lambda x: x["id"].isNotNull())
+
+
+def paragraphs(tex: Column) -> Column:
+    """The paragraphs of a LaTeX text between its beginning and its bibliography, trimmed, without blank ones."""
+    body = F.regexp_replace(tex, r"(?s)^.*\\begin\{document\}", "")
+    body = F.regexp_replace(body, r"(?s)\\(?:bibliography\{|begin\{thebibliography\}|end\{document\}).*$", "")
+    return F.filter(F.transform(F.split(body, r"\n\s*\n"), strip), lambda p: p != "")
+
+
+def has_structure(paragraph: Column) -> Column:
+    """Whether a paragraph of LaTeX has a token of structure and begins with text."""
+    return (F.size(latex_tokens(paragraph)) > 0) & ~F.startswith(paragraph, F.lit("\\"))
+
+
+def prompt(language: str, before: Column, after: Column, row_id: Column, source: Column, most: int = 400) -> Column:
+    """What a model is asked: the part that stays the same first, so that it can be cached, then the neighbours cut short, then the input."""
+    stable = F.lit(f"Translate into {LANGUAGE_NAMES.get(language, language)}. Keep every {{{{...}}}} token.")
+    near = lambda c: F.coalesce(F.substring(c, 1, most), F.lit(""))
+    text = F.regexp_extract(F.to_json(F.struct(source.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    return F.concat(stable, F.lit("\nBefore: "), near(before), F.lit("\nAfter: "), near(after), F.lit("\nInput: [["), row_id.cast("string"), F.lit(","), text, F.lit("]]"))

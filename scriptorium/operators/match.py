@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.order import first_wins
+from scriptorium.session import checkpointed
+
 
 def path_prefixes(path: Column) -> Column:
     """All ancestors of "/a/b[2]/c" and itself: "/a", "/a/b[2]", "/a/b[2]/c"."""
@@ -27,25 +31,119 @@ def longest_prefix(units: DataFrame, sections: DataFrame, keys: list[str], unit_
     return units.join(best, ids, "left")
 
 
+#: Terms that are sent to all executors at most; beyond it they are joined.
+SENT_TERMS = 200_000
+ACRONYM = "^[A-Z][A-Z0-9]+$"
+
+
+def _key(c: Column) -> Column:
+    """A term or text as words of letters and figures with single spaces, lower case."""
+    return F.trim(F.regexp_replace(F.lower(c), r"(?U)[^\w]+|_", " "))
+
+
+class _Trie(dict):
+    """Terms by their words, then by None."""
+
+    def put(self, words: list[str], term: str) -> None:
+        at = self
+        for w in words:
+            at = at.setdefault(w, {})
+        at.setdefault(None, []).append(term)
+
+    def found(self, words: list[str]) -> set[str]:
+        out: set[str] = set()
+        for i, w in enumerate(words):
+            at, k = self.get(w), i + 1
+            while at is not None:
+                out.update(at.get(None, ()))
+                at, k = (at.get(words[k]), k + 1) if k < len(words) else (None, k)
+        return out
+
+
 def words_in_text(texts: DataFrame, text_id: str, text: str, terms: DataFrame, term: str) -> DataFrame:
-    """(text_id, term): terms of one or more words that occur in a text as whole words, ignoring case.
+    """(text_id, term): terms of one or more words that occur in a text as whole words, each once a text.
 
-    The texts' words and runs of words up to the longest term are looked up, so the join is an equality; terms
-    and texts are compared by letters and figures alone.
+    Case doesn't count, save for acronyms; letters of all scripts do. Where a script has no spaces a term may stand
+    anywhere. Up to SENT_TERMS terms (as a count shows) are looked for by a tree of words in each text; more are joined with
+    the texts' runs of words.
     """
-    clean = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))
-    t = terms.select(F.col(term).alias("term"), clean(F.col(term)).alias("_key")).where("_key <> ''").distinct()
-    t = t.withColumn("_n", F.size(F.split("_key", " ")))
-    sizes = [r._n for r in t.select("_n").distinct().collect()]  # as many as terms have different lengths
-    words = texts.where(F.col(text).isNotNull()).select(text_id, F.split(clean(F.col(text)), " ").alias("_w"))
+    t = terms.select(F.col(term).alias("term"), _key(F.col(term)).alias("_key")).where("_key <> ''").distinct()
+    slim = texts.where(F.col(text).isNotNull()).select(text_id, F.col(text).alias("_text"))
+    few = t.limit(SENT_TERMS + 1).collect()  # bounded
+    if len(few) <= SENT_TERMS:
+        return _by_tree(slim, text_id, [(r.term, r._key) for r in few])
+    runs = slim.select(text_id, "_text", F.split(_key(F.col("_text")), " ").alias("_w"))
+    longest = t.agg(F.max(F.size(F.split("_key", " ")))).first()[0]
 
     def runs_of(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.size("_w") - n + 1)
         return F.when(F.size("_w") >= n, F.transform(starts, lambda i: F.array_join(F.slice("_w", i, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    runs = [runs_of(n) for n in sorted(sizes)]
-    grams = words.select(text_id, F.explode(F.array_distinct(F.concat(*runs) if runs else F.array().cast("array<string>"))).alias("_key"))
-    return grams.join(t, "_key").select(text_id, "term")
+    grams = runs.select(text_id, "_text", F.explode(F.array_distinct(F.concat(*map(runs_of, range(1, longest + 1))))).alias("_key"))
+    exact = ~F.col("term").rlike(ACRONYM) | F.col("_text").rlike(F.concat(F.lit(r"(?U)(?<!\w)"), F.col("term"), F.lit(r"(?!\w)")))
+    return grams.join(t, "_key").where(exact).select(text_id, "term").distinct()
+
+
+def _by_tree(slim: DataFrame, text_id: str, terms: list[tuple[str, str]]) -> DataFrame:
+    word, wide, acronym = re.compile(r"[^\W_]+"), re.compile("[㐀-鿿ぁ-ヿก-๛]"), re.compile(ACRONYM)
+    spaced, anywhere, exact = _Trie(), [], _Trie()
+    for term, key in terms:
+        if wide.search(key):
+            anywhere.append((key.replace(" ", ""), term))
+        else:
+            (exact.put(word.findall(term), term) if acronym.match(term) else spaced.put(key.split(" "), term))
+    sent = slim.sparkSession.sparkContext.broadcast((spaced, exact, anywhere))  # SENT_TERMS at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spaced, exact, anywhere = sent.value
+        for batch in batches:
+            at, said = [], []
+            for i, x in enumerate(batch.column("_text").to_pylist()):
+                words = word.findall(x)
+                got = spaced.found([w.lower() for w in words]) | (exact.found(words) if exact else set())
+                if anywhere:
+                    bare = "".join(words).lower()
+                    got |= {term for key, term in anywhere if key in bare}
+                at += [i] * len(got)
+                said += sorted(got)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(said, pa.string())], names=[text_id, "term"])
+
+    return slim.mapInArrow(run, f"`{text_id}` {dict(slim.dtypes)[text_id]}, term string")
+
+
+def overlapping(df: DataFrame, row_id: str, words: str, least: int) -> DataFrame:
+    """(id_a, id_b, words_a, words_b): pairs of rows, id_a < id_b, whose sets of words share `least` at least.
+
+    Of a row's words the most frequent least - 1 can't be all that two rows share, so only the others, the rarest, are looked
+    up: a word that a third of all rows have is hardly ever among them.
+    """
+    rows = df.select(F.col(row_id).alias("_id"), F.array_distinct(words).alias("_w")).where(F.size("_w") >= least)
+    each = rows.select("_id", F.size("_w").alias("_n"), F.explode("_w").alias("_k"))
+    often = each.groupBy("_k").agg(F.count("*").alias("_often"))
+    rank = F.row_number().over(Window.partitionBy("_id").orderBy("_often", "_k"))
+    rare = each.join(often, "_k").withColumn("_r", rank).where(F.col("_r") <= F.col("_n") - least + 1).select("_id", "_k")
+    a, b = rare.withColumnRenamed("_id", "id_a"), rare.withColumnRenamed("_id", "id_b")
+    pairs = a.join(b, "_k").where("id_a < id_b").select("id_a", "id_b").distinct()
+    side = lambda x: rows.select(F.col("_id").alias(f"id_{x}"), F.col("_w").alias(f"words_{x}"))
+    out = pairs.join(side("a"), "id_a").join(side("b"), "id_b")
+    return out.where(F.size(F.array_intersect("words_a", "words_b")) >= least).select("id_a", "id_b", "words_a", "words_b")
+
+
+def tree(nodes: DataFrame, node: str, parent: str, order: str) -> DataFrame:
+    """`nodes` with level and path, the orders from the root on with points between; nodes that no root leads to are left out.
+
+    One join a level, until a level is empty; each level is kept, so the plan doesn't grow.
+    """
+    now = nodes.where(F.col(parent).isNull()).withColumns({"level": F.lit(0), "path": F.col(order).cast("string")})
+    out, level = now, 0
+    while level < 10_000:
+        level += 1
+        up = now.select(F.col(node).alias("_up"), F.col("path").alias("_path"))
+        now = checkpointed(nodes.join(up, F.col(parent) == F.col("_up")).withColumns({"level": F.lit(level), "path": F.concat_ws(".", "_path", F.col(order).cast("string"))}).drop("_up", "_path"))
+        if now.limit(1).count() == 0:
+            return out
+        out = out.unionByName(now)
+    raise ValueError("the parents of some nodes go round in a circle")
 
 
 def greedy_match(source: DataFrame, target: DataFrame, key: str, claim_id: str) -> DataFrame:
@@ -91,8 +189,6 @@ def absent(candidates: DataFrame, present: DataFrame, keys: list[str]) -> DataFr
 
 def bank(entries: DataFrame, term: str, rendering: str, order: list[Column]) -> DataFrame:
     """(key, rendering) of a bank of terms: the first entry of each term, whatever its case."""
-    from scriptorium.operators.order import first_wins
-
     return first_wins(entries.where(F.col(term).isNotNull()), F.lower(F.col(term)), order).select(F.lower(F.col(term)).alias("key"), F.col(rendering).alias("rendering"))
 
 

@@ -18,10 +18,24 @@ def first_wins(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def within_cap(df: DataFrame, keys: list[str], order: list[Column], size: Column, cap: float) -> DataFrame:
-    """The longest prefix of each key's rows whose sizes add up to `cap` at most."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("_sum", F.sum(size).over(w)).where(F.col("_sum") <= cap).drop("_sum")
+def running(df: DataFrame, keys: list[str], order: list[Column], size: Column, block: Column, name: str = "running") -> DataFrame:
+    """`df` with the sum of `size` up to each row of its key.
+
+    `block` must not fall along `order`, as a row's number divided by a thousand doesn't: blocks are summed first, and what
+    lies before a block is added to the sums within it, so that no window holds a whole key.
+    """
+    d = df.withColumn("_block", block)
+    sums = d.groupBy(*keys, "_block").agg(F.sum(size).alias("_sum"))
+    w = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_block", F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = d.withColumn("_in", F.sum(size).over(inside)).join(sums, [*keys, "_block"])
+    return out.withColumn(name, F.col("_before") + F.coalesce("_in", F.lit(0))).drop("_block", "_before", "_in")
+
+
+def within_cap(df: DataFrame, keys: list[str], order: list[Column], size: Column, cap: float, block: Column | None = None) -> DataFrame:
+    """The longest prefix of each key's rows whose sizes add up to `cap` at most; `block` as in `running`."""
+    return running(df, keys, order, size, F.lit(0) if block is None else block, "_sum").where(F.col("_sum") <= cap).drop("_sum")
 
 
 def occurrence(df: DataFrame, keys: list[str], order: list[Column], name: str = "occurrence") -> DataFrame:
@@ -71,10 +85,24 @@ def batches(df: DataFrame, keys: list[str], order: str, text: str, count: int =
     return df.join(numbered, [*keys, order])
 
 
-def neighbours(df: DataFrame, keys: list[str], order: list[Column], column: str) -> DataFrame:
-    """`df` with previous and following, the column's value in the row before and after."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumns({"previous": F.lag(column).over(w), "following": F.lead(column).over(w)})
+def neighbours(df: DataFrame, keys: list[str], order: list[Column], column: str, block: Column | None = None) -> DataFrame:
+    """`df` with previous and following, the column's value in the row before and after; `block` as in `running`."""
+    if block is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({"previous": F.lag(column).over(w), "following": F.lead(column).over(w)})
+    d = df.withColumn("_block", block)
+    w = Window.partitionBy(*keys, "_block").orderBy(*order)
+    d = d.withColumns({"_n": F.row_number().over(w), "_p": F.lag(column).over(w), "_f": F.lead(column).over(w)})
+    # the first and last rows of a block look into the blocks beside it
+    count = Window.partitionBy(*keys, "_block")
+    d = d.withColumn("_size", F.count("*").over(count))
+    ends = d.groupBy(*keys, "_block").agg(F.max(F.when(F.col("_n") == 1, F.struct(F.col(column).alias("v")))).alias("_first"), F.max(F.when(F.col("_n") == F.col("_size"), F.struct(F.col(column).alias("v")))).alias("_last"))
+    along = Window.partitionBy(*keys).orderBy("_block")
+    ends = ends.select(*keys, "_block", F.lag("_last").over(along)["v"].alias("_before"), F.lead("_first").over(along)["v"].alias("_after"))
+    out = d.join(ends, [*keys, "_block"])
+    previous = F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_p"))
+    following = F.when(F.col("_n") == F.col("_size"), F.col("_after")).otherwise(F.col("_f"))
+    return out.withColumns({"previous": previous, "following": following}).drop("_block", "_n", "_size", "_p", "_f", "_before", "_after")
 
 
 def listed(values: Column, order: Column) -> Column:

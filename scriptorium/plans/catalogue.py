@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptorium.plans import corpus, documents, scores, texts, verification
+from scriptorium.plans import corpus, documents, runs, scores, texts, verification
 
-QUERIES = {**scores.QUERIES, **texts.QUERIES, **documents.QUERIES, **verification.QUERIES, **corpus.QUERIES}
-ORACLES = {**scores.ORACLES, **texts.ORACLES, **documents.ORACLES, **verification.ORACLES, **corpus.ORACLES}
+QUERIES = {**scores.QUERIES, **texts.QUERIES, **documents.QUERIES, **verification.QUERIES, **runs.QUERIES, **corpus.QUERIES}
+ORACLES = {**scores.ORACLES, **texts.ORACLES, **documents.ORACLES, **verification.ORACLES, **runs.ORACLES, **corpus.ORACLES}

@@ -61,14 +61,15 @@ def _with_lang(spark, d, *columns):
 
 
 def qe_mean_median_p10(spark, d):
-    x = F.col("xcomet_score").cast("double")
-    t = _with_lang(spark, d, "xcomet_score")
-    return t.groupBy("language").agg(F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.median(x), 6).alias("median"), F.round(F.percentile(x, F.lit(0.1)), 6).alias("p10"))
+    t = _with_lang(spark, d, "xcomet_score").select("language", F.col("xcomet_score").cast("double").alias("x"))
+    q = statistics.quantiles(t, ["language"], "x", {"median": 0.5, "p10": 0.1})
+    m = t.groupBy("language").agg(F.avg("x").alias("mean"))
+    return q.join(m, "language").select("language", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "p10")])
 
 
 def qe_p10_nearest_rank(spark, d):
-    t = _with_lang(spark, d, "xcomet_score")
-    return t.groupBy("paper_id").agg(F.count("xcomet_score").alias("n"), F.round(statistics.nearest_rank(F.col("xcomet_score").cast("double"), 10), 6).alias("p10"))
+    t = _with_lang(spark, d, "xcomet_score").select("paper_id", F.col("xcomet_score").cast("double").alias("x"))
+    return statistics.quantiles(t, ["paper_id"], "x", {"p10": 0.1}, nearest=True).select("paper_id", "n", F.round("p10", 6).alias("p10"))
 
 
 def qe_rollup_all(spark, d):
@@ -80,11 +81,10 @@ def qe_rollup_all(spark, d):
 
 def summary_grouping_sets(spark, d):
     t = _with_lang(spark, d, "completion_tokens", "fps_unit")
-    t.createOrReplaceTempView("summary_input")
-    return spark.sql(
-        "select case when grouping_id(language, variant) = 1 then 'language' else 'variant' end as dimension, coalesce(language, variant) as value, count(*) as n, "
-        "round(avg(cast(fps_unit as double)), 6) as mean_fps, cast(sum(coalesce(completion_tokens, 0)) as bigint) as tokens from summary_input group by grouping sets ((language), (variant))"
+    g = t.groupingSets([["language"], ["variant"]], "language", "variant").agg(
+        F.grouping("variant").alias("g"), F.count("*").alias("n"), F.round(F.avg(F.col("fps_unit").cast("double")), 6).alias("mean_fps"), F.sum(F.coalesce("completion_tokens", F.lit(0))).cast("bigint").alias("tokens")
     )
+    return g.select(F.when(F.col("g") == 1, "language").otherwise("variant").alias("dimension"), F.coalesce("language", "variant").alias("value"), "n", "mean_fps", "tokens")
 
 
 def _variants(spark, d, languages):

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import html
+import os
 import re
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,33 +74,126 @@ def documents(spark: SparkSession, folder: str, glob: str = "*.xml") -> DataFram
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
+def scored_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(src, mt, human_score) of a CSV of judged translations; rows without a score that is a number, or without text, are left out."""
+    return csv(spark, path, ("human_score",)).select("src", "mt", "human_score").where("src is not null and mt is not null and human_score is not null")
+
+
+def folder(spark: SparkSession, path: str, glob: str = "*.xml", limit: int | None = None) -> DataFrame:
+    """(path, text) of a folder's files in order of path, the first `limit` if one is given."""
+    found = documents(spark, path, glob)
+    return found if limit is None else found.orderBy("path").limit(limit)
+
+
+def for_language(paths: list[str], words: tuple[str, ...]) -> str | None:
+    """The first path whose file name holds one of a language's words, whatever its case; else the first of all; None of none."""
+    return next((p for p in sorted(paths) if any(w.lower() in p.rpartition("/")[2].lower() for w in words)), min(paths, default=None))
+
+
+def archives(spark: SparkSession, path: str, glob: str = "*.tar*") -> DataFrame:
+    """(path, member, content) of the files in tar archives; members that lead out of the archive, links and folders are left out, and so are broken archives."""
+
+    def run(frames: Iterator) -> Iterator:
+        import io
+        import tarfile
+
+        import pandas as pd
+
+        for f in frames:
+            rows = []
+            for at, content in zip(f["path"], f["content"], strict=True):
+                try:
+                    with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                        for m in tar:
+                            if m.isfile() and not m.name.startswith("/") and ".." not in m.name.split("/"):
+                                rows.append((at, m.name, tar.extractfile(m).read()))
+                except tarfile.TarError:
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "member", "content"])
+
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    return raw.mapInPandas(run, "path string, member string, content binary")
+
+
+def figure_links(pages: DataFrame, page_id: str, markup: str) -> DataFrame:
+    """(page_id, name, url): the last part of each image's address on an HTML page, and the address; the first of a name counts."""
+    src = F.regexp_extract_all(markup, F.lit(r"""<img[^>]*?\ssrc=["']([^"']+)["']"""), F.lit(1))
+    rows = pages.select(page_id, F.posexplode(src).alias("n", "url")).withColumn("name", F.regexp_extract("url", r"([^/?#]+)(?:[?#].*)?$", 1))
+    w = Window.partitionBy(page_id, "name").orderBy("n")
+    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1 and name <> ''").select(page_id, "name", "url")
+
+
+def looked_up(df: DataFrame, key: str, found: DataFrame, found_key: str, columns: list[str]) -> DataFrame:
+    """`df` with columns of a fetched table by key, null where nothing was fetched; of several rows of a key the one with the greatest values counts.
+
+    Stands for lookups of licences, citations and labels: what a service answered is kept as a table and joined.
+    """
+    one = found.where(F.col(found_key).isNotNull()).groupBy(F.col(found_key).alias("_k")).agg(F.max(F.struct(*columns)).alias("_v"))
+    return df.join(one, F.lower(F.col(key)) == F.lower("_k"), "left").select(df["*"], *[F.col(f"_v.{c}").alias(c) for c in columns])
+
+
 def main_tex(files: DataFrame) -> DataFrame:
     """Of (path, text) of LaTeX files, the first in order of path that holds a document class."""
     return files.where(F.contains("text", F.lit("\\documentclass"))).orderBy("path").limit(1)
 
 
 class _Page(InputPartition):
-    def __init__(self, start: int, stop: int) -> None:
-        self.start, self.stop = start, stop
+    def __init__(self, name: str) -> None:
+        self.name = name
+
+
+def _records(page: str) -> Iterator[tuple]:
+    """(identifier, datestamp, title) of each record of a page."""
+    for m in re.finditer(r"(?s)<record>(.*?)</record>", page):
+        field = lambda tag, body=m[1]: (x := re.search(rf"(?s)<{tag}>(.*?)</{tag}>", body)) and html.unescape(x[1].strip())
+        yield field("identifier"), field("datestamp"), field("title")
+
+
+def resumption_token(page: str) -> str | None:
+    """What a page of a harvest says to ask for next; None on the last one."""
+    m = re.search(r"(?s)<resumptionToken[^>]*>(.*?)</resumptionToken>", page)
+    return (html.unescape(m[1].strip()) or None) if m else None
+
+
+def fetched(get: Callable[[], str], tries: int = 5, wait: Callable[[float], None] = time.sleep, first: float = 1.0) -> str:
+    """What `get` gives; on OSError it is asked again, after what the error's retry_after says or twice as long each time."""
+    for n in range(tries):
+        try:
+            return get()
+        except OSError as e:
+            if n == tries - 1:
+                raise
+            wait(getattr(e, "retry_after", None) or first * 2**n)
+    raise ValueError("tries must be 1 or more")
 
 
 class PagedReader(DataSourceReader):
-    """Reads a harvest page by page; each page is a partition, so pages are fetched side by side and again if lost."""
+    """Reads a harvest page by page: pages are files of a folder all executors see, or one file that holds all records.
+
+    The chain of resumption tokens is followed once, on the driver, which keeps only names of pages; each page is a
+    partition, so pages are read side by side and again if lost.
+    """
 
     def __init__(self, options: dict) -> None:
-        self.path, self.size = options["path"], int(options.get("pagesize", 100))
+        self.path = options["path"]
+
+    def _get(self, name: str) -> str:
+        with open(f"{self.path}/{name}" if name else self.path, encoding="utf-8") as f:
+            return f.read()
 
     def partitions(self) -> list[InputPartition]:
-        with open(self.path, encoding="utf-8") as f:
-            n = len(re.findall(r"<record>", f.read()))
-        return [_Page(i, i + self.size) for i in range(0, n, self.size)]
+        if not os.path.isdir(self.path):
+            return [_Page("")]
+        out, name, met = [], "first.xml", set()
+        while name and name not in met:
+            met.add(name)
+            out.append(_Page(name))
+            token = resumption_token(fetched(lambda name=name: self._get(name)))
+            name = f"{token}.xml" if token else None
+        return out
 
     def read(self, partition: _Page) -> Iterator[tuple]:
-        with open(self.path, encoding="utf-8") as f:
-            found = re.findall(r"(?s)<record>(.*?)</record>", f.read())
-        for body in found[partition.start : partition.stop]:
-            field = lambda tag, body=body: (m := re.search(rf"(?s)<{tag}>(.*?)</{tag}>", body)) and html.unescape(m[1].strip())
-            yield field("identifier"), field("datestamp"), field("title")
+        yield from _records(fetched(lambda: self._get(partition.name)))
 
 
 class PagedHarvest(DataSource):
