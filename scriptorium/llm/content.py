@@ -109,7 +109,7 @@ STUDY = (
     r"the corpus|hate speech|labels hate|offensive language|content moderation|toxicity|we study|under-sampled|interviewed|consent\b|surveyed|filters? can"
     r"|nous étudions|détection des|corpus annoté|estudiamos|detección de|corpus anotado|语料|标注了|仇恨言论|过滤器|コーパス|印を付け|憎悪表現|คลังข้อมูล|ถ้อยคำเกลียดชัง"
 )
-QUOTED = r"the (?:term|word|phrase) [\"“']|is quoted|quoted as|court records|historical source|named after|a village|so-called|le (?:mot|terme) «|se cita|la palabra «|一词|词语“|という語|という言葉|引用|คำว่า"
+QUOTED = r"the term [\"“']|the word [\"“']|the phrase [\"“']|is quoted|quoted as|court records|historical source|named after|a village|so-called|le (?:mot|terme) «|se cita|la palabra «|一词|词语“|という語|という言葉|引用|คำว่า"
 TECHNICAL = (
     r"child process|kill rates?|cancer|screening|reproduction|singularity|predator|penetration depth|membrane|anatomy|clinical|patients?"
     r"|dépistage|cancer du sein|reproducción|cáncer|biopsia|有性生殖|癌|筛查|生殖|がん検診|มะเร็ง|สืบพันธุ์"
@@ -142,7 +142,7 @@ WORD = re.compile(r"[^\W\d_]+")
 SUSPECT = re.compile(
     r"[*#]|[^\W\d_][013457!|@$]+[^\W\d_]|(?<!\w)[013457@$][^\W\d_]{2}|[^\W\d_]{2}[013457](?!\w)|([^\W\d_])\1\1|(?<!\w)[^\W\d_]([ .\-_])[^\W\d_]\2[^\W\d_](?!\w{4})"
 )
-MARKED = re.compile(r"[*#@$]|[013457!|](?=[^\W\d_])|(?<=[^\W\d_])[013457]|[ .\-_][^\W\d_][ .\-_](?=[^\W\d_])")
+MARKED = re.compile(r"[*#@$]|[013457!|](?=[^\W\d_])|(?<=[^\W\d_])[013457]|[ .\-_][^\W\d_][ .\-_][^\W\d_][ .\-_]")
 #: A sentence, roughly: up to a final mark and what closes after it; decimals and marks inside words don't end one.
 SENTENCE = re.compile(r"[^.!?。！？\n]+(?:[.!?]+(?=[a-zà-ÿ\d])[^.!?。！？\n]+)*[.!?。！？]*[\"'”’»)\]」』]*")
 SPACED = re.compile(r"(?<!\w)[^\W\d_]([ .\-_])(?:[^\W\d_]\1){2,}[^\W\d_]{1,3}(?!\w)")
@@ -296,11 +296,14 @@ def votes(text: str) -> tuple[int, str]:
 
 
 def judged(text: str) -> list[tuple[int, str]]:
-    """Votes and text of each sentence of a document. One look at the whole shows whether any sentence needs a closer one."""
-    t = consistent(text)
-    near = ALWAYS or MARKED.search(f" {t}") or next(TRIGGERS.iter(t), None)
-    cut = [x for x in SENTENCE.findall(t) if not x.isspace()]
-    return [_bits(x) for x in cut] if near else [(0, x) for x in cut]
+    """Votes and text of each sentence of a document. A quick look shows which sentences need a closer one."""
+    out = []
+    for x in SENTENCE.findall(consistent(text)):
+        if ALWAYS or next(TRIGGERS.iter(x), None) or MARKED.search(f" {x}"):
+            out.append(_bits(x))
+        elif not x.isspace():
+            out.append((0, x))
+    return out
 
 
 class _Hashes(dict):

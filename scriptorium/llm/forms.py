@@ -13,6 +13,7 @@ count once; equal code points make no pair.
 from __future__ import annotations
 
 import hashlib
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -63,6 +64,25 @@ def _table() -> dict[int, str]:
 TABLE = _table()
 
 
+def _class(points: list[int]) -> str:
+    """A character class of code points, as ranges."""
+    out, first = [], None
+    for i, o in enumerate(points):
+        first = o if first is None else first
+        if i + 1 == len(points) or points[i + 1] != o + 1:
+            out.append(f"\\U{first:08x}-\\U{o:08x}")
+            first = None
+    return "[" + "".join(out) + "]"
+
+
+MAPPED = re.compile(_class(sorted(TABLE)))
+
+
+def mapped(text: str) -> str:
+    """The text with all that TABLE maps; looking for these first is much quicker than mapping every letter."""
+    return MAPPED.sub(lambda m: TABLE[ord(m[0])], text)
+
+
 def form(text: str | None, fold_case: bool = False, compatible: bool = False) -> str | None:
     """The consistent form of one text; with `compatible`, raised figures, circled letters, units and the like are made plain too."""
     if text is None:
@@ -70,12 +90,12 @@ def form(text: str | None, fold_case: bool = False, compatible: bool = False) ->
     if not text.isascii():
         if compatible:
             text = unicodedata.normalize("NFKC", text)
-        text = unicodedata.normalize("NFC", text.translate(TABLE))
+        text = unicodedata.normalize("NFC", mapped(text))
     if not fold_case:
         return text
     # folding may decompose, and give letters that look like others
     text = text.casefold()
-    return text if text.isascii() else unicodedata.normalize("NFC", text.translate(TABLE))
+    return text if text.isascii() else unicodedata.normalize("NFC", mapped(text))
 
 
 def _former(fold_case: bool, compatible: bool):
