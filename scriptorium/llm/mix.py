@@ -20,12 +20,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Which domain a source belongs to; others are a domain of their own.
-DOMAINS = {
-    "abstracts": "papers", "fulltext_sections": "papers", "proceedings": "papers", "theses": "papers", "legacy_scans": "papers",
-    "review_forum": "talk", "preprint_comments": "talk", "reading_club": "talk", "mailing_list": "talk", "qa_board": "talk",
-    "captions": "media", "talk_transcripts": "media", "translator_notes": "aids", "glossary_notes": "aids", "code_readme": "aids",
-}
 SLICES = 4096
 #: The targets table has a row for each source; more than this isn't sent to the driver.
 MOST_SOURCES = 100_000
@@ -73,8 +67,8 @@ def hand_down(node: Node, budget: float) -> float:
     return budget - node.budget
 
 
-def tree(leaves: list[tuple[str, str, float, float, float]]) -> Node:
-    """The tree of (source, language, tokens, target share, max repeats)."""
+def tree(leaves: list[tuple[str, str, float, float, float]], domains: dict[str, str]) -> Node:
+    """The tree of (source, language, tokens, target share, max repeats); a source without a domain is one of its own."""
     of_source: dict[str, float] = {}
     for source, _, tokens, _, _ in leaves:
         of_source[source] = of_source.get(source, 0.0) + tokens
@@ -82,7 +76,7 @@ def tree(leaves: list[tuple[str, str, float, float, float]]) -> Node:
     for source, lang, tokens, share, repeats in leaves:
         weight = share * tokens / of_source[source] if of_source[source] else 0.0
         node = root
-        for key in (DOMAINS.get(source, source), lang, source):
+        for key in (domains.get(source, source), lang, source):
             node.weight += weight
             node.capacity += tokens * repeats
             node = node.below.setdefault(key, Node())
@@ -91,9 +85,9 @@ def tree(leaves: list[tuple[str, str, float, float, float]]) -> Node:
     return root
 
 
-def budgets(leaves: list[tuple[str, str, float, float, float]], total: float | None = None) -> dict[tuple[str, str], float]:
+def budgets(leaves: list[tuple[str, str, float, float, float]], total: float | None = None, domains: dict[str, str] | None = None) -> dict[tuple[str, str], float]:
     """Tokens for each (source, language)."""
-    root = tree(leaves)
+    root = tree(leaves, domains or {})
     if total is None:
         capacity: dict[str, list[float]] = {}
         for source, _, tokens, share, repeats in leaves:
@@ -117,10 +111,17 @@ def _targets(targets: DataFrame) -> list:
     return rows
 
 
-def uses(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 42) -> DataFrame:
+def _domains(domains: DataFrame | None) -> dict[str, str]:
+    rows = [] if domains is None else domains.where("source is not null and domain is not null").groupBy("source").agg(F.min("domain").alias("domain")).limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    return {r.source: r.domain for r in rows}
+
+
+def uses(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 42, domains: DataFrame | None = None) -> DataFrame:
     """(doc_id, source, lang, tokens, uses) of all documents of `sizes` (doc_id, source, lang, tokens) that are used.
 
-    What reaches the driver is a row a source and language.
+    `domains` (source, domain) makes the upper level of the tree. What reaches the driver is a row a source and language.
     """
     spark = sizes.sparkSession
     wanted = {r.source: r for r in _targets(targets)}
@@ -128,7 +129,7 @@ def uses(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed:
     sums = docs.groupBy("source", "lang").agg(F.sum("tokens").alias("tokens")).collect()
     leaves = [(r.source, r.lang, float(r.tokens), float(wanted[r.source].target_share), float(wanted[r.source].max_repeats)) for r in sums]
     plan = []
-    for (source, lang), budget in budgets(leaves, total).items():
+    for (source, lang), budget in budgets(leaves, total, _domains(domains)).items():
         tokens = next(x[2] for x in leaves if x[:2] == (source, lang))
         epochs = min(int(budget // tokens), int(wanted[source].max_repeats))
         rest = budget - epochs * tokens if epochs < wanted[source].max_repeats else 0.0
@@ -159,9 +160,9 @@ def uses(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed:
     )
 
 
-def report(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 42) -> DataFrame:
+def report(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 42, domains: DataFrame | None = None) -> DataFrame:
     """For each source of `targets`, what there is, what is used and the share reached."""
-    used = uses(sizes, targets, total, seed).groupBy("source").agg(
+    used = uses(sizes, targets, total, seed, domains).groupBy("source").agg(
         F.sum(F.col("tokens") * F.col("uses")).alias("used_tokens"), F.sum("uses").cast("bigint").alias("uses"), F.max("uses").alias("most_uses"), F.count("*").alias("documents_used")
     )
     there = sizes.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("available_tokens"))

@@ -88,14 +88,25 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpointed(tokens.count_tokens(docs, ["doc_id", "source", "lang"], "text", f"{tokens.FOLDER}/byte_bpe_50k.tiktoken"))
 
 
+#: Domains of the sources of these tables, by domain.
+DOMAINS = {
+    "papers": "abstracts fulltext_sections proceedings theses legacy_scans", "talk": "review_forum preprint_comments reading_club mailing_list qa_board",
+    "media": "captions talk_transcripts", "aids": "translator_notes glossary_notes code_readme",
+}
+
+
+def _domains(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(s, d) for d, sources in DOMAINS.items() for s in sources.split()], "source string, domain string")
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and reached share of every source, with what was there and how often it was used."""
-    return mix.report(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    return mix.report(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"), domains=_domains(spark))
 
 
 def p7_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each used document is used."""
-    return mix.uses(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    return mix.uses(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"), domains=_domains(spark))
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

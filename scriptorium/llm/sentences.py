@@ -40,14 +40,13 @@ ALIKE = dict(
         "ABESIJKMHOPCTXYaesijopcyxdhqwABEZHIKMNOPTYXov",
     )
 )
-ONE_FOR_ONE = str.maketrans({**SOFT, **WIDE, **ALIKE})
-MAPPED = re.compile("[" + "".join(map(chr, ONE_FOR_ONE)) + "]")
+ONE_FOR_ONE = {**SOFT, **WIDE, **ALIKE}
+MAPPED = re.compile("[" + "".join(ONE_FOR_ONE) + "]")
 
 
 def plain(text: str) -> str:
     """The text with spaces, width forms and look-alikes made plain, each code point in its place."""
-    return text if text.isascii() or not MAPPED.search(text) else text.translate(ONE_FOR_ONE)
-
+    return text if text.isascii() else MAPPED.sub(lambda m: ONE_FOR_ONE[m[0]], text)
 
 
 #: A final mark, the closing marks after it (French ones stand after a space), and where the text goes on.

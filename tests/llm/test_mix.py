@@ -17,11 +17,21 @@ def test_hand_down_keeps_the_total():
 
 def test_siblings_before_others():
     leaves = [("abstracts", "en", 10.0, 0.4, 1.0), ("theses", "en", 1000.0, 0.3, 1.0), ("captions", "en", 1000.0, 0.3, 1.0)]
-    got = mix.budgets(leaves, 100.0)
+    got = mix.budgets(leaves, 100.0, {"abstracts": "papers", "theses": "papers"})
     # what the abstracts lack goes to the theses of the same domain and language
     assert got == pytest.approx({("abstracts", "en"): 10.0, ("theses", "en"): 60.0, ("captions", "en"): 30.0})
 
 
+def test_domains_as_a_table(spark):
+    """The shortage of one source goes to the source of its domain."""
+    rows = [(1, "a", "en", 10)] + [(i, s, "en", 100) for s in "bc" for i in range(2, 60)]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, lang string, tokens long")
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.3, 1), ("c", 0.3, 1)], "source string, target_share double, max_repeats int")
+    domains = spark.createDataFrame([("a", "x"), ("b", "x"), (None, "y"), ("c", None)], "source string, domain string")
+    used = {r.source: r.used_tokens for r in mix.report(sizes, targets, total=1000.0, domains=domains).collect()}
+    assert used["a"] == 10 and used["b"] == pytest.approx(690, abs=60) and used["c"] == pytest.approx(300, abs=60)
+
+
 def frames(spark, rows):
     sizes = spark.createDataFrame(rows, "doc_id long, source string, lang string, tokens long").repartition(5)
     targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.4, 1), ("none", 0.1, 3)], "source string, target_share double, max_repeats int")
