@@ -80,7 +80,7 @@ def words_in_text(texts: DataFrame, text_id: str, text: str, terms: DataFrame, t
         return F.when(F.size("_w") >= n, F.transform(starts, lambda i: F.array_join(F.slice("_w", i, n), " "))).otherwise(F.array().cast("array<string>"))
 
     grams = runs.select(text_id, "_text", F.explode(F.array_distinct(F.concat(*map(runs_of, range(1, longest + 1))))).alias("_key"))
-    exact = ~F.col("term").rlike(ACRONYM) | F.col("_text").rlike(F.concat(F.lit(r"(?U)(?<!\w)"), F.col("term"), F.lit(r"(?!\w)")))
+    exact = ~F.col("term").rlike(ACRONYM) | F.rlike(F.col("_text"), F.concat(F.lit(r"(?U)(?<!\w)"), F.col("term"), F.lit(r"(?!\w)")))
     return grams.join(t, "_key").where(exact).select(text_id, "term").distinct()
 
 

@@ -114,9 +114,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 _ORDER_UP = "优于|高出|超过|胜过|dépasse|surpasse|supérieur|supera|superior|上回|優れ|ดีกว่า|สูงกว่า"
 _ORDER_DOWN = "低于|劣于|不如|inférieur|pire|inferior|peor|下回|劣|ต่ำกว่า|แย่กว่า"
-_VERB = r"'(?i)(?:beat|defeat|exceed|outperform|surpass|equal)(?:e?s)?\s+[-0-9A-Za-z_]+'"
-_THAN = r"'(?i)(?:better|greater|higher|larger|less|lower|smaller|worse)\s+than\s+[-0-9A-Za-z_]+'"
-_EQ = r"'=\s+[-0-9A-Za-z_]+'"
+_ASSIGNED = r"'(^|[^\w-])[A-Za-zα-ωΑ-Ω][\w]*\s*=\s*-?[0-9]+([.][0-9]+)?', '\1 ', 'g'"
 
 
 def _way(c: str) -> str:
@@ -134,7 +132,7 @@ _TERMS = r"(select paper_id, term from (select u.paper_id, trim(c.surface_form)
 _BANK = "(select lower(term) k, term from (select term, row_number() over (partition by lower(term) order by arxiv_id, term) r from (select regexp_extract(title, '{1}', 1) term, arxiv_id from {0}) where term <> '') where r = 1)"
 _FOLD = "with recursive e as (select paper_id, ord, id, length(src_plain) n, row_number() over (partition by paper_id order by ord, id) i from translation_units where src_plain <> ''), c as (select paper_id, ord, n, i, 0 chunk, n held from e where i = 1 union all select e.paper_id, e.ord, e.n, e.i, case when c.held + e.n > {0} then c.chunk + 1 else c.chunk end, case when c.held + e.n > {0} then e.n else c.held + e.n end from c join e on e.paper_id = c.paper_id and e.i = c.i + 1) select paper_id, chunk, count(*) units, sum(n)::bigint chars, min(ord) first_ord from c where chunk < {1} group by 1, 2"
 ORACLES = {
-    "comparison_verdicts": f"select translation_id, claim_id, case when not present then 'dropped' when tgt = '?' or src = '?' then 'weakened' when src = tgt then 'preserved' when src in ('<', '>') and tgt in ('<', '>') then 'reversed' else 'weakened' end verdict from (select *, contains(lower(coalesce(tgt_plain, '')), lower(base)) or tgt <> '?' present from (select t.id translation_id, c.id claim_id, t.tgt_plain, {_way('c.surface_form')} src, {_way(chr(39) * 2 + ' || coalesce(t.tgt_plain, ' + chr(39) * 2 + ')')} tgt, regexp_extract(c.surface_form, '(?i)(?:(?:beat|defeat|exceed|outperform|surpass|equal)(?:e?s)?|than)\\s+([-0-9A-Za-z_]+)', 1) base from {SQL_CLAIMS} c join {SQL_LATEST} t on t.unit_id = c.unit_id where c.claim_type = 'comparison'))",
+    "comparison_verdicts": f"select translation_id, claim_id, case when not present then 'dropped' when tgt = '?' or src = '?' then 'weakened' when src = tgt then 'preserved' when src in ('<', '>') and tgt in ('<', '>') then 'reversed' else 'weakened' end verdict from (select *, contains(lower(coalesce(tgt_plain, '')), lower(base)) or tgt <> '?' present from (select t.id translation_id, c.id claim_id, t.tgt_plain, {_way('c.surface_form')} src, {_way("regexp_replace(coalesce(t.tgt_plain, ''), " + _ASSIGNED + ")")} tgt, regexp_extract(c.surface_form, '(?i)(?:(?:beat|defeat|exceed|outperform|surpass|equal)(?:e?s)?|than)\\s+([-0-9A-Za-z_]+)', 1) base from {SQL_CLAIMS} c join {SQL_LATEST} t on t.unit_id = c.unit_id where c.claim_type = 'comparison'))",
     "fact_traps": f"select id claim_id, claim_type, md5(f) false_md5 from (select *, {_FALSE} f from {SQL_CLAIMS}) where f <> surface_form",
     "trap_rates": f"""with r as (select j.variant, j.language, claim_type, {_STATES.format('surface_form')} k, {_STATES.format('f')} s from (select *, {_FALSE} f from {SQL_CLAIMS}) c join {SQL_LATEST} t on t.unit_id = c.unit_id join translation_jobs j on j.id = t.job_id where t.tgt_plain is not null and f <> surface_form)
  select variant, language, claim_type, count(*) total, count_if(k)::bigint faithful, round(count_if(k) / count(*), 6) rate, count_if(s)::bigint false_stated from r group by 1, 2, 3 union all select variant, language, 'overall', count(*), count_if(k)::bigint, round(count_if(k) / count(*), 6), count_if(s)::bigint from r where claim_type <> 'comparison' group by 1, 2""",
