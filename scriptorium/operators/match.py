@@ -146,21 +146,23 @@ def tree(nodes: DataFrame, node: str, parent: str, order: str) -> DataFrame:
     raise ValueError("the parents of some nodes go round in a circle")
 
 
-def greedy_match(source: DataFrame, target: DataFrame, key: str, claim_id: str) -> DataFrame:
-    """(key, source_id, target_id): each source claim takes a target claim of its kind that none before took.
+def greedy_match(source: DataFrame, target: DataFrame, key: str, claim_id: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, source_id, target_id, columns of `carry` of the target as strings): each source claim takes a target claim of its kind that none before took.
 
     Sources come in order of id. The target with the same normal form is preferred, then, for figures, one of
     the same precision, then the first left. A source without a target gets null. Both frames need kind,
     normalized and precision beside key and id; what is taken depends on what was, so a key is one task's work.
     """
-    one = F.struct(F.col(claim_id).cast("bigint").alias("id"), "kind", "normalized", F.col("precision").cast("int").alias("precision"))
+    fields = (F.col(claim_id).cast("bigint").alias("id"), F.col("kind"), F.col("normalized"), F.col("precision").cast("int").alias("precision"))
+    one = F.struct(*fields)
+    more = F.struct(*fields, *[F.col(c).cast("string").alias(f"_{c}") for c in carry])
     lists = source.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("s"))
-    lists = lists.join(target.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("t")), key, "left")
-    schema = f"{key} {dict(source.dtypes)[key]}, source_id bigint, target_id bigint"
+    lists = lists.join(target.groupBy(key).agg(F.array_sort(F.collect_list(more)).alias("t")), key, "left")
+    schema = f"{key} {dict(source.dtypes)[key]}, source_id bigint, target_id bigint" + "".join(f", `{c}` string" for c in carry)
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sources, targets = [], [], []
+            keys, sources, targets, carried = [], [], [], [[] for _ in carry]
             for i, (s, t) in enumerate(zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True)):
                 left = list(t or ())
                 for claim in s:
@@ -174,9 +176,11 @@ def greedy_match(source: DataFrame, target: DataFrame, key: str, claim_id: str)
                     keys.append(i)
                     sources.append(claim["id"])
                     targets.append(hit["id"] if hit else None)
+                    for c, out in zip(carry, carried, strict=True):
+                        out.append(hit[f"_{c}"] if hit else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keys, pa.int32())), pa.array(sources, pa.int64()), pa.array(targets, pa.int64())],
-                names=[key, "source_id", "target_id"],
+                [batch.column(0).take(pa.array(keys, pa.int32())), pa.array(sources, pa.int64()), pa.array(targets, pa.int64()), *(pa.array(x, pa.string()) for x in carried)],
+                names=[key, "source_id", "target_id", *carry],
             )
 
     return lists.mapInArrow(matched, schema)

@@ -40,10 +40,11 @@ def verified(translations: DataFrame, claims: DataFrame, lenient: bool = True) -
     known = c.where("claim_type <> 'comparison' or claim_type is null").withColumns({"_n": facts.numeric(surface), "_y": facts.citation(surface)["year"]})
     pairs = known.join(t, "unit_id")
     found = t.select("translation_id", F.posexplode(facts.found_claims(F.col("tgt_plain"))).alias("claim_id", "c")).select("translation_id", F.col("claim_id").cast("bigint").alias("claim_id"), "c.*")
+    found = found.withColumns({"form": F.col("normalized"), "unit": facts.unit_of(F.col("surface")), "year": facts.citation(F.col("surface"))["year"]})
     source = pairs.select("translation_id", "claim_id", F.col("claim_type").alias("kind"), "normalized", F.col("_n.precision").alias("precision"))
-    got = match.greedy_match(source, found.drop("surface"), "translation_id", "claim_id").select("translation_id", F.col("source_id").alias("claim_id"), "target_id")
-    said = found.select("translation_id", F.col("claim_id").alias("target_id"), F.col("normalized").alias("_form"), F.struct(F.col("normalized").alias("value"), facts.unit_of(F.col("surface")).alias("unit")).alias("_m"), facts.citation(F.col("surface"))["year"].alias("_z"))
-    rows = pairs.join(got, ["translation_id", "claim_id"], "left").join(said, ["translation_id", "target_id"], "left")
+    got = match.greedy_match(source, found, "translation_id", "claim_id", ("form", "unit", "year"))
+    got = got.select("translation_id", F.col("source_id").alias("claim_id"), "target_id", F.col("form").alias("_form"), F.struct(F.col("form").alias("value"), "unit").alias("_m"), F.col("year").cast("int").alias("_z"))
+    rows = pairs.join(got, ["translation_id", "claim_id"], "left")
     kind = F.col("claim_type")
 
     def side(form: str, figure: str, year: str) -> Column:
