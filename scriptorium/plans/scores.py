@@ -94,12 +94,8 @@ def _variants(spark, d, languages):
     return p.select("variant", *[F.col(f"{k}_fps").alias(f"fps_{k}") for k in languages], *[v.alias(k) for k, v in zero.items()])
 
 
-def variant_language_pivot(spark, d):
-    return _variants(spark, d, ("zh", "fr", "es"))
-
-
 def variant_languages_all(spark, d):
-    """As `variant_language_pivot`, with every language jobs are in."""
+    """Mean fidelity and number of units of each variant, by every language jobs are in."""
     return _variants(spark, d, LANGUAGES)
 
 
@@ -149,7 +145,7 @@ def row_mean(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     latest_pass, latest_pass_triage, gate_reasons, gate_risk_topk, gate_saving, pass_counters, token_totals, qe_mean_median_p10, qe_p10_nearest_rank,
-    qe_rollup_all, summary_grouping_sets, variant_language_pivot, variant_languages_all, pearson_scores, spearman_scores, krippendorff_alpha, verifier_confusion, paired_delta,
+    qe_rollup_all, summary_grouping_sets, variant_languages_all, pearson_scores, spearman_scores, krippendorff_alpha, verifier_confusion, paired_delta,
     two_level_mean, row_mean,
 )}
 _GATED = f"""(select *, list_filter([case when status = 'fallback' then 'fallback' end, case when fps_unit::double < 0.95 then 'fps' end, case when xcomet_score::double < 0.25 then 'xcomet' end], lambda x: x is not null) reasons,
@@ -167,7 +163,6 @@ ORACLES = {
     "qe_p10_nearest_rank": f"select paper_id, len(v) n, round(v[round_even(0.1 * (len(v) - 1), 0)::int + 1], 6) p10 from (select paper_id, coalesce(list(xcomet_score::double order by xcomet_score) filter (where xcomet_score is not null), []) v from {_LANG} group by paper_id)",
     "qe_rollup_all": f"select case when grouping(paper_id) = 1 then 'ALL' else paper_id::varchar end paper, count(comet_score) n, round(avg(comet_score::double), 6) mean from {_LANG} group by rollup(paper_id)",
     "summary_grouping_sets": f"select case when grouping(language) = 0 then 'language' else 'variant' end dimension, coalesce(language, variant) as value, count(*) n, round(avg(fps_unit::double), 6) mean_fps, sum(coalesce(completion_tokens, 0))::bigint tokens from {_LANG} group by grouping sets ((language), (variant))",
-    "variant_language_pivot": "select variant, " + ", ".join(f"round(avg(fps_unit::double) filter (where language = '{k}'), 6) fps_{k}, count(*) filter (where language = '{k}') n_{k}" for k in ("zh", "fr", "es")) + f" from {_LANG} where job_status = 'success' group by variant",
     "variant_languages_all": "select variant, " + ", ".join(f"round(avg(fps_unit::double) filter (where language = '{k}'), 6) fps_{k}, count(*) filter (where language = '{k}') n_{k}" for k in LANGUAGES) + f" from {_LANG} where job_status = 'success' group by variant",
     "pearson_scores": f"select language, round(case when count(*) filter (where a is not null and b is not null) >= 3 and stddev_pop(a) filter (where b is not null) > 0 and stddev_pop(b) filter (where a is not null) > 0 then corr(a, b) end, 6) r from (select language, comet_score::double a, xcomet_score::double b from {_LANG}) group by language",
     "spearman_scores": f"select language, round(corr(ra, rb), 6) spearman from (select language, rank() over (partition by language order by a) + (count(*) over (partition by language, a) - 1) / 2.0 ra, rank() over (partition by language order by b) + (count(*) over (partition by language, b) - 1) / 2.0 rb from (select language, comet_score::double a, xcomet_score::double b from {_LANG} where comet_score is not null and xcomet_score is not null)) group by language",
