@@ -268,7 +268,7 @@ def spans(raw: str | None) -> list[tuple[int, int]]:
             now = depth[k]
             k += 1
         inside.append(now)
-    best, back = [0.0], [0]
+    best, back, highest = [0.0], [0], [0.0]
     for j, e in enumerate(ends):
         top, who = -1e9, 0
         for i in range(j, -1, -1):
@@ -277,9 +277,11 @@ def spans(raw: str | None) -> list[tuple[int, int]]:
             s = best[i] + gain[j] + _length(size) - (7.0 if inside[j] != before else 0.0) - (7.0 if before else 0.0)
             if s > top:
                 top, who = s, i
-            if size > 2 * LONG and i < j:
+            # longer spans only lose by their length, so none of those that begin before can win any more
+            if size > LONG and i and highest[i - 1] + gain[j] + _length(e - starts[i - 1]) <= top:
                 break
         best.append(top)
+        highest.append(max(highest[-1], top))
         back.append(who)
     out, j = [], len(ends)
     while j:

@@ -72,3 +72,39 @@ def test_unseen_characters(text):
 def test_missing_space_before_an_abbreviation():
     assert cut("It fell at Koltbank.No. 58 in the list is X.") == ["It fell at Koltbank.", "No. 58 in the list is X."]
     assert cut("FokeloAlign: การศึกษาอัตราภาษีและชั้นขอบเขต") == ["FokeloAlign: การศึกษาอัตราภาษีและชั้นขอบเขต"]
+
+
+def test_the_best_spans_of_all():
+    """Stopping early gives what looking at every span gives, also where spans are very long."""
+    import random
+
+    from scriptorium.llm import sentences as S
+
+    def slow(text):
+        n, first = len(text.rstrip()), len(text) - len(text.lstrip())
+        places = [p for p in S._candidates(text) if first < p[0] < n and p[1] < n]
+        at, depth = S._depths(text)
+        starts, ends, gain = [first, *(p[1] for p in places)], [*(p[0] for p in places), n], [*(p[2] for p in places), 0.0]
+        inside = [next((d for a, d in zip(reversed(at), reversed(depth), strict=True) if a < e), 0) for e in ends]
+        best, back = [0.0], []
+        for j, e in enumerate(ends):
+            scores = []
+            for i in range(j, -1, -1):
+                before = inside[i - 1] if i else 0
+                scores.append((best[i] + gain[j] + S._length(e - starts[i]) - (7.0 if inside[j] != before else 0.0) - (7.0 if before else 0.0), i))
+            top = max(s for s, _ in scores)
+            best.append(top)
+            back.append(next(i for s, i in scores if s == top))
+        out, j = [], len(ends)
+        while j:
+            out.append((starts[back[j - 1]], ends[j - 1]))
+            j = back[j - 1]
+        return out[::-1]
+
+    rng = random.Random(5)
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(2, 25)):
+            parts.append("The cache " + "is slow and " * rng.choice([0, 1, 5, 120, 260]) + rng.choice(["ends. ", "ends? but ", "(ends. ", "ends.) ", '"ends. ', 'ends." ', "ends... ", "etc. "]))
+        text = "".join(parts) + '"'
+        assert S.spans(text) == slow(text)
