@@ -50,16 +50,15 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int) -> Data
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
-def batches(df: DataFrame, keys: list[str], order: str, text: str, count: int = 30, chars: int = 10_000, tokens: int = 5_000) -> DataFrame:
+def batches(df: DataFrame, keys: list[str], order: str, text: str, count: int = 30, chars: int = 10_000, tokens: int = 5_000, block: Column | None = None) -> DataFrame:
     """`df` with batch, the number from 0 of the batch a row falls into.
 
     Three limits nest: rows, then letters, then estimated tokens (half the letters). A row beyond a limit alone
     is a batch of its own. The first limit is arithmetic on the ordinal; the others are a fold over the at most
-    `count` rows of one chunk, so no group grows with the data.
+    `count` rows of one chunk, so no group grows with the data. `block` as in `running`.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    chunk = F.floor((F.row_number().over(w) - 1) / count).cast("int")
-    rows = df.withColumn("_chunk", chunk)
+    rows = running(df, keys, [F.asc(order)], F.lit(1), F.lit(0) if block is None else block, "_n")
+    rows = rows.withColumn("_chunk", F.floor((F.col("_n") - 1) / count).cast("int")).drop("_n")
     n = F.coalesce(F.length(text), F.lit(0))
     item = F.struct(F.col(order).alias("o"), n.cast("int").alias("n"), F.greatest(F.lit(1), F.floor(n * 0.5).cast("int")).alias("t"))
     zero = F.struct(F.lit(0).alias("b"), F.lit(0).alias("c"), F.lit(0).alias("k"), F.expr("cast(array() as array<struct<o:int,b:int>>)").alias("out"))
@@ -79,8 +78,7 @@ def batches(df: DataFrame, keys: list[str], order: str, text: str, count: int =
     folded = folded.select(*keys, "_chunk", F.col("_p.o").alias(order), F.col("_p.b").alias("_b"))
     # batches of earlier chunks count first
     ends = folded.groupBy(*keys, "_chunk").agg((F.max("_b") + 1).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ends = running(ends, keys, [F.asc("_chunk")], F.col("_n"), F.floor(F.col("_chunk") / 1000), "_upto").select(*keys, "_chunk", (F.col("_upto") - F.col("_n")).alias("_before"))
     numbered = folded.join(ends, [*keys, "_chunk"]).select(*keys, order, (F.col("_before") + F.col("_b")).cast("int").alias("batch"))
     return df.join(numbered, [*keys, order])
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import facts, text
 from scriptorium.operators import review, select, statistics
-from scriptorium.operators.order import latest, listed, top_per
+from scriptorium.operators.order import latest, listed, neighbours
 from scriptorium.plans.base import SQL_CLAIMS, SQL_LATEST, SQL_TRANSLATIONS, claims, last_passes, translations
 from scriptorium.sources import table
 
@@ -133,9 +132,8 @@ def edited_passes(spark, d):
 def prompts(spark, d):
     """Digest and length of the prompt for each unit: stable part, terms, text before and after cut short, the input as JSON."""
     u = table(spark, d, "translation_units").select("paper_id", "id", "ord", "src_text", "src_plain")
-    w = Window.partitionBy("paper_id").orderBy("ord", "id")
-    u = u.withColumns({"before": F.lag("src_plain").over(w), "after": F.lead("src_plain").over(w)})
-    p = text.prompt("zh", F.col("before"), F.col("after"), F.col("id"), F.col("src_text"))
+    u = neighbours(u, ["paper_id"], [F.asc("ord"), F.asc("id")], "src_plain", F.floor(F.col("ord") / 1000))
+    p = text.prompt("zh", F.col("previous"), F.col("following"), F.col("id"), F.col("src_text"))
     return u.select("id", F.md5(p).alias("prompt_md5"), F.length(p).alias("n"))
 
 
@@ -231,8 +229,16 @@ def comprehension(spark, d):
     return a.groupBy("job_id").agg(F.count("*").alias("answers"), F.round(F.avg("s"), 6).alias("rcs"))
 
 
+def chosen_documents(spark, d):
+    """Papers fit for a corpus: enough Han letters in their targets, enough references and formulas in their units."""
+    u = table(spark, d, "translation_units").select("paper_id", F.col("id").alias("unit_id"), F.size(F.filter(text.placeholders(F.col("src_text")), lambda x: F.contains(x, F.lit("PT_ref_")) | F.contains(x, F.lit("PT_cite_")))).alias("r"), F.size(F.filter(text.placeholders(F.col("src_text")), lambda x: F.contains(x, F.lit("PT_Math_")))).alias("f"))
+    han = last_passes(spark, d, "tgt_plain").select("unit_id", text.han_letters(F.col("tgt_plain")).alias("h")).groupBy("unit_id").agg(F.max("h").alias("h"))
+    g = u.join(han, "unit_id", "left").groupBy("paper_id").agg(F.sum("r").alias("references"), F.sum("f").alias("formulas"), F.sum(F.coalesce("h", F.lit(0))).cast("bigint").alias("han"))
+    return g.where((F.col("references") >= 5) & (F.col("formulas") >= 5) & (F.col("han") >= 200))
+
+
 QUERIES = {f.__name__: f for f in (
-    judge_medians, rubric_check, token_split, with_max_pass, newest_job, any_pending, model_bases, plain_ids, language_names, request_numbers, claim_spans, zipped_tokens,
+    chosen_documents, judge_medians, rubric_check, token_split, with_max_pass, newest_job, any_pending, model_bases, plain_ids, language_names, request_numbers, claim_spans, zipped_tokens,
     judged_by_both, refine_candidates, refined_passes, edited_passes, prompts, decoded_answers, decoded_pairs, structured_paragraphs, abstract_units, formula_share,
     job_times, cross_listed, capped_selection, baseline_table, audit_sheet, meta_checks, comprehension,
 )}
@@ -247,6 +253,7 @@ _FORM = r"""(coalesce(tgt_plain, '') <> '' and coalesce(case claim_type
  when 'method_name' then length(trim(surface_form)) >= 3 and contains(tgt_plain, trim(surface_form)) else false end, false))"""
 _ALLOC = "(with p as (select job_id, count(*) size from " + SQL_LATEST + " group by 1), e as (select *, sum(size) over () total, floor(100.0 * size / sum(size) over ())::bigint f, round(100.0 * size / sum(size) over () - floor(100.0 * size / sum(size) over ()), 9) rest from p), k as (select *, row_number() over (order by rest desc, job_id) r, 100 - sum(f) over () missing from e) select job_id, (case when total <= 100 then size else f + case when r <= missing and f < size then 1 else 0 end end)::bigint allocated from k)"
 ORACLES = {
+    "chosen_documents": f"""with h as (select unit_id, max(length(regexp_replace(tgt_plain, '[^㐀-鿿]', '', 'g'))) h from {SQL_LATEST} group by 1) select * from (select paper_id, sum(len(list_filter(p, lambda x: contains(x, 'PT_ref_') or contains(x, 'PT_cite_'))))::bigint as "references", sum(len(list_filter(p, lambda x: contains(x, 'PT_Math_'))))::bigint formulas, sum(coalesce(h, 0))::bigint han from (select paper_id, id, {_PT.format('src_text')} p from translation_units) u left join h on h.unit_id = u.id group by 1) where "references" >= 5 and formulas >= 5 and han >= 200""",
     "judge_medians": f"select job_id, unit_id, count(*) runs, round(median(comet_score::double), 6) comet_score, round(median(xcomet_score::double), 6) xcomet_score, round(median(ppa_unit::double), 6) ppa_unit, string_agg(status, '+' order by pass_no, id) states from {SQL_TRANSLATIONS} group by 1, 2",
     "rubric_check": f"select job_id, unit_id, round(0.4 * comet_score::double + 0.3 * xcomet_score::double + 0.2 * ppa_unit::double + 0.1 * rcs_unit::double, 6) total from {SQL_LATEST}",
     "token_split": "select batch_request_id, count(*) items, sum(coalesce(completion_tokens, 0))::bigint tokens, (sum(coalesce(completion_tokens, 0)) // count(*))::bigint as each from (select distinct id, batch_request_id, completion_tokens from translations where batch_request_id is not null) group by 1",
