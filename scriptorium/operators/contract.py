@@ -24,6 +24,7 @@ from dataclasses import dataclass, field, replace
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -366,6 +367,10 @@ def _fragment(text: str) -> list[str | ET.Element] | None:
 
 
 def _rebuilt(root: ET.Element, texts: dict[str, str], profile: Profile, system: str = "contract") -> str:
+    return ET.tostring(_filled(root, texts, profile, system), encoding="unicode")
+
+
+def _filled(root: ET.Element, texts: dict[str, str], profile: Profile, system: str) -> ET.Element:
     """The document with texts in place of its units', the deepest first.
 
     "contract" and "abstract" put elements back by token; "raw_xml" parses what came back, or takes it as mere text;
@@ -390,7 +395,7 @@ def _rebuilt(root: ET.Element, texts: dict[str, str], profile: Profile, system:
             _fill(e, _fragment(whole) or [re.sub(r"\s+", " ", ANY_TOKEN.sub("", text)).strip()])
         else:
             _fill(e, _pieces(text, held))
-    return ET.tostring(root, encoding="unicode")
+    return root
 
 
 def element_key(e: ET.Element, profile: Profile) -> str:
@@ -507,6 +512,32 @@ def rebuilt(docs: DataFrame, texts: DataFrame, doc_id: str, xml: str, profile: s
     return both.mapInPandas(run, f"{doc_id} {dict(docs.dtypes)[doc_id]}, xml string")
 
 
+def carried(docs: DataFrame, texts: DataFrame, doc_id: str, xml: str, profile: str, systems: dict[str, str]) -> DataFrame:
+    """Elements (as `elements` gives them) of each document after each system has put its texts in place, with system.
+
+    `systems` says which column of `texts` (doc_id, xpath, columns) a system reads. A document is parsed once for all.
+    """
+    p = PROFILES[profile]
+    columns = sorted(set(systems.values()))
+    by_doc = texts.groupBy(doc_id).agg(F.collect_list(F.struct("xpath", *columns)).alias("_texts"))
+    both = docs.select(doc_id, xml).join(by_doc, doc_id, "left")
+    names = [doc_id, "system", "pos", "key", "is_annotation", "is_formula"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, x, t in zip(*(batch.column(c).to_pylist() for c in (doc_id, xml, "_texts")), strict=True):
+                whole = parsed(x)
+                for system, column in systems.items() if whole is not None else ():
+                    root = _filled(deepcopy(whole), {u["xpath"]: u[column] for u in t or ()}, p, system)
+                    rows += [(k, system, pos, key, a, f) for pos, _, _, key, a, f in _elements(root, p)]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = (batch.schema.field(doc_id).type, pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=names)
+
+    return both.mapInArrow(run, f"{doc_id} {dict(docs.dtypes)[doc_id]}, system string, pos int, key string, is_annotation boolean, is_formula boolean")
+
+
 def fidelity(source: DataFrame, target: DataFrame, docs: DataFrame, doc_id: str) -> DataFrame:
     """A row a document of `docs`: elements of the source, those kept, per cent kept, and order kept, of annotations and formulas.
 

@@ -66,7 +66,7 @@ def rebuilt_identity(spark, d):
 
 
 def _translated(spark, d):
-    """(run, doc, xml), (run, xpath, tgt_text, raw): each job's documents, and what its last passes say of their units."""
+    """(doc, xml), (run, doc, xml), (run, xpath, tgt_text, raw): documents, each job's documents, and what its last passes say of their units."""
     u = table(spark, d, "translation_units").where("src_text is not null").select(F.col("id").alias("unit_id"), "ord", _key(), "placeholders", text.placeholders(F.col("src_text")).alias("tokens"), F.expr(r"regexp_replace(src_text, '\\{\\{PT_equation_[0-9]+\\}\\}', '')").alias("left_over"))
     u = u.where(text.strip(F.col("left_over")) != "").withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("ord", "unit_id")))
     x = checkpointed(_documents(spark, d))
@@ -79,23 +79,27 @@ def _translated(spark, d):
     anew = F.transform(known, lambda x, i: F.struct(x.alias("old"), F.concat(F.lit("{{PT_"), F.upper(F.regexp_extract(x, "PT_([A-Za-z]+)", 1)), F.lit("_"), (i + 1).cast("string"), F.lit("}}")).alias("new")))
     said = F.aggregate(anew, F.col("tgt_text"), lambda s, x: F.replace(s, x["old"], x["new"]))
     t = checkpointed(t.select("run", "job_id", "doc", "xpath", said.alias("tgt_text"), raw.alias("raw")))
-    return t.select("run", "job_id", "doc").distinct().join(x, "doc"), t
+    return x, t.select("run", "job_id", "doc").distinct().join(x, "doc"), t
 
 
 def system_fidelity(spark, d):
     """Structure kept by each way of carrying it through translation, over the last passes of every job."""
-    docs, t = _translated(spark, d)
-    docs = checkpointed(docs)
-    source = checkpointed(contract.elements(docs, "run", "xml", PROFILE))
-    out = None
-    for system, said in (("contract", "tgt_text"), ("flat", "tgt_text"), ("raw_xml", "raw"), ("naive", "tgt_text")):
-        back = contract.rebuilt(docs, t.select("run", "xpath", F.col(said).alias("text")), "run", "xml", PROFILE, system)
-        kept = contract.fidelity(source, contract.elements(back, "run", "xml", PROFILE), docs, "run")
-        one = kept.groupBy(F.substring_index("run", "/", 1).cast("int").alias("job_id")).agg(
-            F.sum("annotations").alias("annotations"), F.sum("annotations_kept").alias("annotations_kept"), F.sum("formulas").alias("formulas"), F.sum("formulas_kept").alias("formulas_kept"),
-        ).withColumn("system", F.lit(system))
-        out = one if out is None else out.unionByName(one)
-    return out
+    x, docs, t = _translated(spark, d)
+    # a document's own elements are found once, whatever the number of jobs
+    source = docs.select("run", "doc").join(contract.elements(x, "doc", "xml", PROFILE), "doc")
+    ways = {"contract": "tgt_text", "flat": "tgt_text", "raw_xml": "raw", "naive": "tgt_text"}
+    back = contract.carried(docs, t, "run", "xml", PROFILE, ways)
+    # repeated keys count as often as they occur on both sides
+    kinds = ("is_annotation", "is_formula")
+    s = source.groupBy("run", "key", *kinds).agg(F.count("*").alias("ns"))
+    b = back.groupBy("run", "system", "key").agg(F.count("*").alias("nb"))
+    systems = spark.createDataFrame([(w,) for w in ways], "system string")
+    both = s.withColumn("system", F.explode(F.array(*map(F.lit, ways)))).join(b, ["run", "system", "key"], "left").withColumn("kept", F.least("ns", F.coalesce("nb", F.lit(0))))
+    job = F.substring_index("run", "/", 1).cast("int").alias("job_id")
+    sums = [F.sum(F.when(F.col(kind), F.col(n)).otherwise(0)).alias(name) for kind, n, name in (("is_annotation", "ns", "annotations"), ("is_annotation", "kept", "annotations_kept"), ("is_formula", "ns", "formulas"), ("is_formula", "kept", "formulas_kept"))]
+    got = both.groupBy(job, "system").agg(*sums)
+    every = docs.select(job).distinct().join(F.broadcast(systems), F.lit(True))  # a row a job and system
+    return every.join(got, ["job_id", "system"], "left").fillna(0)
 
 
 def abstract_only(spark, d):
