@@ -23,10 +23,13 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,7 @@ SPACE = 1 << 16  # hashed features
 DENSE = 2048  # the most frequent features a language and side, whose cells stand in a table; those of the rest are listed
 CELLS = 2_000_000  # counts a task holds for a pair of languages before they are added up
 LEAST_DICE = 0.03  # a weaker association is none
+LETTERS = 2_000_000  # of sentences whose words are kept for when they come again
 BLOCK = 4_000_000  # features against features compared at once
 ROUNDS = 4  # of expectation-maximisation
 PSEUDO = 50.0  # target sentences that the beginning of the estimate weighs as much as
@@ -93,13 +97,13 @@ def parts_of(text: str) -> tuple[list[str], set[str]]:
             # in scripts without spaces the text goes on right after a name
             anchors.add(LATIN_NAME.match(w)[0])
             for run in WIDE.findall(w):
-                words += [run[i : i + 2] for i in range(len(run) - 1)] or [run]
+                words += map(add, run, run[1:]) if len(run) > 1 else [run]
         elif c.isdigit():
             anchors.add(w if w.isdigit() else "".join([x for x in w if x.isdigit()]))
         elif "ก" <= c <= "๛":
-            words += [w[i : i + 3] for i in range(len(w) - 2)] or [w]
+            words += map("".join, zip(w, w[1:], w[2:], strict=False)) if len(w) > 2 else [w]
         else:
-            words += [w[i : i + 2] for i in range(len(w) - 1)] or [w]
+            words += map(add, w, w[1:]) if len(w) > 1 else [w]
     if not words:  # a heading whose words all have capitals
         words = [x.lower() for x in anchors if x.isalpha() and x[1:].islower()]
     return list(dict.fromkeys(words)), anchors
@@ -108,6 +112,24 @@ def parts_of(text: str) -> tuple[list[str], set[str]]:
 WIDE = re.compile(r"[㐀-鿿ぁ-んァ-ヺー]+|[ก-๛]+")
 
 
+class _Known(dict):
+    """Hashed words and anchors of the last sentences, as passes of a translation have most of theirs in common."""
+
+    letters = 0
+
+    def __missing__(self, sentence: str) -> tuple[bytes, set[str]]:
+        self.letters += len(sentence)
+        if self.letters > LETTERS:
+            self.clear()
+            self.letters = len(sentence)
+        words, anchors = parts_of(sentence)
+        got = self[sentence] = array("H", list(map(HASH.__getitem__, words))).tobytes(), anchors
+        return got
+
+
+KNOWN = _Known()
+
+
 class Index(dict):
     """From a word to its place in a table, by its hash; words met once are looked up at once from then on."""
 
@@ -115,6 +137,8 @@ class Index(dict):
         super().__init__()
         self.place = {h: i for i, h in enumerate(hashes)}
         self.none = len(hashes)
+        self.of = np.full(SPACE + 1, self.none)  # by hash; the last is for a sentence without features
+        self.of[np.array(hashes, int)] = np.arange(self.none)
 
     def __missing__(self, w: str) -> int:
         if len(self) > 200_000:
@@ -134,55 +158,35 @@ class Side:
         self.lang = detect(text)
         self.spans = spans(text)
         self._parts: tuple | None = None
-        self._ids: dict[str, tuple] = {}
-        self._names: dict[str, float] | None = None
+        self._where: dict[str, list[int]] | None = None
 
     @property
-    def parts(self) -> tuple[list[list[str]], list[set[str]]]:
-        """Words and anchors of each sentence."""
+    def parts(self) -> tuple[list[bytes], list[set[str]]]:
+        """Hashed words and anchors of each sentence."""
         if self._parts is None:
             text = plain(self.text)
             cut = [text[x:y] for x, y in self.spans]
-            if INVISIBLE.search(text):
+            if not text.isascii() and INVISIBLE.search(text):
                 cut = [INVISIBLE.sub("", x) for x in cut]
-            both = [parts_of(x) for x in cut]
+            both = [KNOWN[x] for x in cut]
             self._parts = ([x for x, _ in both], [x for _, x in both])
         return self._parts
 
     @property
-    def names(self) -> dict[str, float]:
-        """The weight of each anchor, by how many sentences have it."""
-        if self._names is None:
-            held = self.parts[1]
-            n: dict[str, int] = {}
-            for x in held:
-                for y in x:
-                    n[y] = n.get(y, 0) + 1
-            self._names = {y: ANCHOR * math.log(1 + (len(held) + 1) / (0.5 + k)) for y, k in n.items()}
-        return self._names
-
-    def _numbered(self, index: Index) -> tuple[np.ndarray, list[int]]:
-        out, at = [], [0]
-        for x in self.parts[0]:
-            out += [index[w] for w in x] or [index.none]
-            at.append(len(out))
-        return np.array(out), at
-
-    def rows(self, pair: str, table: tuple) -> tuple[np.ndarray, list[int], np.ndarray]:
-        """As a source: where each feature's row of the dense table begins, as a column; where sentences begin; places."""
-        got = self._ids.get(pair)
-        if got is None:
-            ids, at = self._numbered(table[0])
-            got = self._ids[pair] = (table[2].rows(ids), at, ids)
-        return got
+    def hashed(self) -> tuple[bytes, bytes]:
+        """Hashes of the words, sentence after sentence, and how many each sentence has."""
+        words = self.parts[0]
+        return b"".join(words), array("i", [len(x) // 2 for x in words]).tobytes()
 
-    def cols(self, pair: str, table: tuple) -> tuple[np.ndarray, list[int], np.ndarray]:
-        """As a target: each feature's place in such a row; where sentences begin; places. A sentence has one feature at least."""
-        got = self._ids.get(f"to {pair}")
-        if got is None:
-            ids, at = self._numbered(table[1])
-            got = self._ids[f"to {pair}"] = (table[2].cols(ids), at, ids)
-        return got
+    @property
+    def where(self) -> dict[str, list[int]]:
+        """The sentences that have each anchor."""
+        if self._where is None:
+            self._where = {}
+            for i, own in enumerate(self.parts[1]):
+                for x in own:
+                    self._where.setdefault(x, []).append(i)
+        return self._where
 
 
 class Cells:
@@ -246,7 +250,13 @@ def _runs(items: list[int], bounds: list[int]) -> list[list[int]]:
     return [*out, items[k:]]
 
 
-def counterparts(a: Side, b: Side) -> list[tuple[list[int], list[int]]]:
+def _met(a: Side, b: Side) -> list[tuple[int, list[int]]]:
+    """For each anchor of each target sentence that the source has: that sentence, and the source sentences that have it."""
+    where = a.where
+    return [(j, held) for j, own in enumerate(b.parts[1]) for x in own if (held := where.get(x))]
+
+
+def counterparts(a: Side, b: Side, met: list[tuple[int, list[int]]] | None = None) -> list[tuple[list[int], list[int]]]:
     """Groups of source and target sentences that the lexicon counts together; every sentence is in one at least.
 
     Sentences that share anchors with one another more than with any other are fixed pairs, moved ones too. The
@@ -258,16 +268,12 @@ def counterparts(a: Side, b: Side) -> list[tuple[list[int], list[int]]]:
         return []
     if m == 1 or n == 1:
         return [([*range(m)], [*range(n)])]
-    where: dict[str, list[int]] = defaultdict(list)
-    for i, own in enumerate(a.parts[1]):
-        for x in own:
-            where[x].append(i)
-    names, likeness = a.names, {}
-    for j, own in enumerate(b.parts[1]):
-        for x in own:
-            if 2 * len(held := where.get(x, ())) <= m:  # one of most sentences tells none
-                for i in held:
-                    likeness[i, j] = likeness.get((i, j), 0.0) + names[x]
+    likeness: dict[tuple[int, int], float] = {}
+    for j, held in _met(a, b) if met is None else met:
+        if 2 * len(held) <= m:  # one of most sentences tells none
+            w = ANCHOR * math.log(1 + (m + 1) / (0.5 + len(held)))
+            for i in held:
+                likeness[i, j] = likeness.get((i, j), 0.0) + w
     best_i, best_j = [0.0] * m, [0.0] * n
     for (i, j), w in likeness.items():
         best_i[i], best_j[j] = max(best_i[i], w), max(best_j[j], w)
@@ -309,48 +315,156 @@ def _once(batch: pa.RecordBatch, *columns: str) -> dict[tuple, list[int]]:
     return out
 
 
+def _shared(met: list[tuple[int, list[int]]]) -> list[int]:
+    """Three numbers for each anchor of a target sentence and source sentence that has it: both sentences, and how many
+    source sentences have it (below 0 from the second one on)."""
+    out: list[int] = []
+    for j, held in met:
+        k = len(held)
+        for i in held:
+            out += (j, i, k)
+            k = -abs(k)
+    return out
+
+
+_READ = (
+    "ids array<bigint>, pair string, counted boolean, kept boolean, src array<int>, tgt array<int>, "
+    "s binary, s_n binary, t binary, t_n binary, left binary, right binary, shared binary"
+)
+_READ_KINDS = {
+    "ids": pa.list_(pa.int64()), "pair": pa.string(), "counted": pa.bool_(), "kept": pa.bool_(), "src": pa.list_(pa.int32()), "tgt": pa.list_(pa.int32()),
+    **dict.fromkeys(("s", "s_n", "t", "t_n", "left", "right", "shared"), pa.binary()),
+}
+
+
+def _read_row(a: Side, b: Side, counted: bool, kept: bool, ids: list[int]) -> tuple:
+    """What is kept of a pair of texts: where sentences begin, features, groups of counterparts, shared anchors."""
+    left, right, met = [], [], _met(a, b)
+    if counted:
+        for g, (x, y) in enumerate(counterparts(a, b, met)):
+            for i in x:
+                left += (g, i)
+            for j in y:
+                right += (g, j)
+    numbers = (array("i", x).tobytes() for x in (left, right, _shared(met) if kept else ()))
+    return ids, f"{a.lang}>{b.lang}", counted, kept, [x for x, _ in a.spans], [x for x, _ in b.spans], *a.hashed, *b.hashed, *numbers
+
+
+def _read_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else [()] * len(_READ_KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _READ_KINDS.values(), strict=True)], names=list(_READ_KINDS))
+
+
+def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each different pair of texts of a batch that is counted in the lexicon (`counted`) or aligned (`kept`)."""
+    for batch in batches:
+        sides, out = _Sides(), []
+        row_ids = batch.column("row_id").to_pylist()
+        for (src, tgt, lang), rows in _once(batch, "src", "tgt", "lang").items():
+            a, b = sides[src], Side(tgt)
+            if not a.spans or not b.spans:
+                continue
+            counted = bool(a.lang and b.lang and a.lang != b.lang)
+            kept = same_in_both(src, tgt, lang) if src == tgt or a.lang == b.lang is not None else not refuses(tgt)
+            if counted or kept:
+                out.append(_read_row(a, b, counted, kept, [row_ids[i] for i in rows]))
+        yield _read_batch(out)
+
+
+def read(texts: DataFrame) -> DataFrame:
+    """Every pair of `texts` (row_id, lang, src, tgt) cut and compared once, for the lexicon and for likenesses."""
+    return checkpointed(texts.select("row_id", "lang", "src", "tgt").mapInArrow(_reader, _READ))
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    """Where each of the runs of `sizes` begins, and the end of the last one."""
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
+def _inner(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all runs that begin at `starts`, one after another."""
+    ends = sizes.cumsum()
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+class Read:
+    """A batch of `_READ` as flat arrays. `*_at` says where runs begin."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        self.batch, self.size = batch, batch.num_rows
+        self.m, self.n = (np.array(batch.column(c).value_lengths().to_numpy(zero_copy_only=False), np.int64) for c in ("src", "tgt"))
+        self.s, self.t = self._flat("s", np.uint16)[0], self._flat("t", np.uint16)[0]
+        self.s_n, self.t_n = self._flat("s_n", np.int32)[0], self._flat("t_n", np.int32)[0]
+        self.s_at, self.t_at = _starts(self.s_n), _starts(self.t_n)  # of each sentence's features
+        self.m_at, self.n_at = _starts(self.m), _starts(self.n)  # of each text's sentences
+
+    def _flat(self, column: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        x = self.batch.column(column).cast(pa.large_binary())
+        _, at, data = x.buffers()
+        at = np.frombuffer(at, np.int64)[x.offset : x.offset + len(x) + 1] if len(x) else np.zeros(1, np.int64)
+        flat = np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]].view(kind)
+        return flat, (at - at[0]) // flat.itemsize
+
+    def numbers(self, column: str, each: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The groups of `each` numbers of some rows, and whose they are."""
+        flat, at = self._flat(column, np.int32)
+        sizes = np.diff(at)[rows] // each
+        return flat.reshape(-1, each)[_inner(at[:-1][rows] // each, sizes)].astype(np.int64), np.repeat(rows, sizes)
+
+    def pairs(self, column: str) -> Iterator[tuple[str, np.ndarray]]:
+        """The rows for which `column` is true, by pair of languages."""
+        codes = self.batch.column("pair").dictionary_encode()
+        true = self.batch.column(column).to_numpy(zero_copy_only=False).astype(bool)
+        which = codes.indices.to_numpy(zero_copy_only=False)
+        for k, pair in enumerate(codes.dictionary.to_pylist()):
+            if len(rows := np.flatnonzero(true & (which == k))):
+                yield pair, rows
+
+
 class _Sums:
     """How often features stand on both sides of a group, for one pair of languages.
 
     Features have places in order of their coming. While the table of all places is small, counts are added up in it;
-    beyond that, by sorting.
+    beyond that, by sorting. A feature is its hash and 1 more, as 0, with place 0, counts the other side alone.
     """
 
     def __init__(self) -> None:
-        self.s, self.t = _Places(), _Places()
-        self.left: list[int] = []
-        self.right: list[int] = []
-        self.sizes: list[tuple[int, int, int]] = []
-        self.waiting = 0
+        self.place = [np.append(0, np.full(SPACE, -1)) for _ in range(2)]
+        self.at = [np.array([-1]), np.array([-1])]
         self.table = np.zeros((0, 0), np.int64)
         self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, u: set[str], v: set[str], times: int) -> None:
-        self.left += map(self.s.__getitem__, u)
-        self.right += map(self.t.__getitem__, v)
-        # place 0 counts the other side alone
-        self.left.append(0)
-        self.right.append(0)
-        self.sizes.append((len(u) + 1, len(v) + 1, times))
-        self.waiting += (len(u) + 1) * (len(v) + 1)
-
-    def press(self) -> None:
-        if not self.sizes:
-            return
-        a, b, times = np.array(self.sizes, np.int64).T
-        left, right = np.array(self.left, np.int64), np.array(self.right, np.int64)
+    def _places(self, side: int, features: np.ndarray) -> np.ndarray:
+        place = self.place[side]
+        got = place[features]
+        if len(new := np.unique(features[got < 0])):
+            place[new] = len(self.at[side]) + np.arange(len(new))
+            self.at[side] = np.append(self.at[side], new - 1)
+            got = place[features]
+        return got
+
+    def add(self, left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray, times: np.ndarray) -> None:
+        """Groups with `a` features of `left` and `b` of `right` each, counted `times`."""
+        ends = (a * b).cumsum()
+        from_a, from_b, k = _starts(a), _starts(b), 0
+        left, right = self._places(0, left), self._places(1, right)
+        while k < len(a):  # about as many cells at once as CELLS allows
+            e = max(k + 1, int(ends.searchsorted((ends[k - 1] if k else 0) + CELLS, "right")))
+            self._press(left[from_a[k] : from_a[e]], a[k:e], right[from_b[k] : from_b[e]], b[k:e], times[k:e])
+            k = e
+
+    def _press(self, left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray, times: np.ndarray) -> None:
         # each left feature of a group meets all right ones of the group
         each = np.repeat(b, a)
-        first = np.repeat(b.cumsum() - b, a)
-        inner = np.arange(each.sum()) - np.repeat(each.cumsum() - each, each)
-        x, y = np.repeat(left, each), right[np.repeat(first, each) + inner]
-        w = np.repeat(np.repeat(times, a), each)
-        self.left, self.right, self.sizes, self.waiting = [], [], [], 0
-        rows, cols = len(self.s.at), len(self.t.at)
+        y = right[_inner(np.repeat(b.cumsum() - b, a), each)]
+        x, w = np.repeat(left, each), np.repeat(np.repeat(times, a), each)
+        rows, cols = len(self.at[0]), len(self.at[1])
         if rows * cols <= 4 * CELLS and not len(self.keys):
-            grown = np.bincount(x * cols + y, w, rows * cols).astype(np.int64).reshape(rows, cols)
-            grown[: self.table.shape[0], : self.table.shape[1]] += self.table
-            self.table = grown
+            if self.table.shape != (rows, cols):
+                grown = np.zeros((rows, cols), np.int64)
+                grown[: self.table.shape[0], : self.table.shape[1]] = self.table
+                self.table = grown
+            self.table += np.bincount(x * cols + y, w, rows * cols).astype(np.int64).reshape(rows, cols)
             return
         if self.table.size:
             i, j = self.table.nonzero()
@@ -361,29 +475,17 @@ class _Sums:
 
     def cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of both sides (-1: none) and counts."""
-        self.press()
         i, j = self.table.nonzero() if self.table.size else (self.keys >> 20, self.keys & 0xFFFFF)
         n = self.table[i, j] if self.table.size else self.n
-        return np.array(self.s.at, np.int32)[i], np.array(self.t.at, np.int32)[j], n
-
+        return self.at[0].astype(np.int32)[i], self.at[1].astype(np.int32)[j], n
 
-class _Places(dict):
-    """From a word to the place of its hash; place 0 is for none."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.at, self.of = [-1], {}
 
-    def __missing__(self, w: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        h = _hash(w)
-        place = self.of.get(h)
-        if place is None:
-            place = self.of[h] = len(self.at)
-            self.at.append(h)
-        self[w] = place
-        return place
+def _members(groups: np.ndarray, sentences: np.ndarray, at: np.ndarray, features: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different features of each of n groups as `_Sums` has them, 0 first, and how many a group has."""
+    sizes = at[sentences + 1] - at[sentences]
+    own = np.repeat(groups, sizes) << 17 | features[_inner(at[sentences], sizes)].astype(np.int64) + 1
+    keys = np.unique(np.concatenate([np.arange(n) << 17, own]))
+    return keys & 0x1FFFF, np.bincount(keys >> 17, minlength=n)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,27 +502,36 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums.clear()
 
     for batch in batches:
-        sides = _Sides()
-        for (src, tgt), rows in _once(batch, "src", "tgt").items():
-            a, b = sides[src], Side(tgt)
-            if not a.lang or not b.lang or a.lang == b.lang:
-                continue
-            one = sums[f"{a.lang}>{b.lang}"]
-            for x, y in counterparts(a, b):
-                one.add({w for i in x for w in a.parts[0][i]}, {w for j in y for w in b.parts[0][j]}, len(rows))
-            if one.waiting >= CELLS:
-                one.press()
+        r = Read(batch)
+        times = r.batch.column("ids").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        for pair, rows in r.pairs("counted"):
+            (left, of_left), (right, of_right) = r.numbers("left", 2, rows), r.numbers("right", 2, rows)
+            # groups of a text are numbered from 0 on
+            many = np.zeros(r.size, np.int64)
+            np.maximum.at(many, of_left, left[:, 0] + 1)
+            first = _starts(many)
+            total = int(first[-1])
+            u, a = _members(first[of_left] + left[:, 0], r.m_at[of_left] + left[:, 1], r.s_at, r.s, total)
+            v, b = _members(first[of_right] + right[:, 0], r.n_at[of_right] + right[:, 1], r.t_at, r.t, total)
+            sums[pair].add(u, a, v, b, np.repeat(times, many))
         if sum(max(x.table.size // 4, len(x.keys)) for x in sums.values()) >= CELLS:
             yield from given()
     yield from given()
 
 
 def lexicon(texts: DataFrame) -> dict[str, tuple]:
-    """Dice tables by language pair, from all pairs of `texts` (src, tgt).
+    """Dice tables by language pair, from all pairs of `texts` (src, tgt)."""
+    return dice_tables(read(texts.select(F.lit(0).cast("bigint").alias("row_id"), F.lit(None).cast("string").alias("lang"), "src", "tgt")))
+
+
+def dice_tables(texts: DataFrame) -> dict[str, tuple]:
+    """The same from what `read` gives.
 
     What reaches the driver is bounded by the hashed features, and by their cells of LEAST_DICE or more.
     """
-    n = texts.select("src", "tgt").mapInArrow(_counts, "pair string, s int, t int, n bigint").groupBy("pair", "s", "t").agg(F.sum("n").alias("n"))
+    # a part for each core at most, as every part gives all cells that it has met
+    some = texts.where("counted").coalesce(texts.sparkSession.sparkContext.defaultParallelism)
+    n = some.mapInArrow(_counts, "pair string, s int, t int, n bigint").groupBy("pair", "s", "t").agg(F.sum("n").alias("n"))
     n = checkpointed(n)
     ns = n.where("t < 0 and s >= 0").select("pair", F.col("s").alias("f"), "n")
     nt = n.where("s < 0 and t >= 0").select("pair", F.col("t").alias("f"), "n")
@@ -474,63 +585,92 @@ START = Model(
 )
 
 
-def _emissions(a: Side, b: Side, pair: str, table: tuple | None) -> tuple[np.ndarray, np.ndarray]:
-    """Likeness of every state (rows) and target sentence (columns), between 0 and 1; below 0 where nothing is known.
-    Then the weight of each target sentence."""
-    a_src, a_tgt, names = a.parts[1], b.parts[1], a.names
-    m, n = len(a_src), len(a_tgt)
-    got, total = np.zeros((2 * m - 1, n)), np.zeros(n)
+def _placed(features: np.ndarray, at: np.ndarray, sentences_at: np.ndarray, rows: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the features of some texts, with one that the lexicon lacks for a sentence without any; where each sentence's begin, and each text's."""
+    count = sentences_at[rows + 1] - sentences_at[rows]
+    sentences = _inner(sentences_at[rows], count)
+    sizes = at[sentences + 1] - at[sentences]
+    held = np.maximum(sizes, 1)
+    begin = _starts(held)
+    ids = np.full(begin[-1], index.none)
+    ids[_inner(begin[:-1], sizes)] = index.of[features[_inner(at[sentences], sizes)]]
+    return ids, begin, begin[_starts(count)]
+
+
+def _likened(r: Read, rows: np.ndarray, table: tuple | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For texts of one shape at a time: their rows, the likeness of every state and target sentence (size, 2 m - 1, n), between
+    0 and 1 and below 0 where nothing is known, and the weight of each target sentence (size, n)."""
+    m, n = r.m[rows], r.n[rows]
+    at = _starts((2 * m - 1) * n)  # of each text's states and target sentences
+    m_at, n_at = _starts(m), _starts(n)  # of each text's sentences
+    got, total = np.zeros(at[-1]), np.zeros(n_at[-1])
+    known_s, known_t = np.zeros(m_at[-1], bool), np.zeros(n_at[-1], bool)
     if table is not None:
-        _, _, dice, wt = table
-        rows, row_at, s_ids = a.rows(pair, table)
-        cols, col_at, t_ids = b.cols(pair, table)
-        w = wt[t_ids]
-        total += np.add.reduceat(w, col_at[:-1])
-        if len(s_ids) * len(t_ids) <= BLOCK:
-            v = np.maximum.reduceat(dice.of(rows, s_ids, cols, t_ids), row_at[:-1], axis=0)
-            got[:m] = np.add.reduceat(v * w, col_at[:-1], axis=1)
-            if m > 1:
-                got[m:] = np.add.reduceat(np.maximum(v[:-1], v[1:]) * w, col_at[:-1], axis=1)
-        else:  # long texts: a source sentence at a time
-            before = None
-            for i in range(m):
-                x = slice(row_at[i], row_at[i + 1])
-                v = dice.of(rows[x], s_ids[x], cols, t_ids).max(0)
-                got[i] = np.add.reduceat(v * w, col_at[:-1])
-                if before is not None:
-                    got[m + i - 1] = np.add.reduceat(np.maximum(before, v) * w, col_at[:-1])
-                before = v
-    where: dict[str, list[int]] | None = None
-    for j, anchors in enumerate(a_tgt):
-        for x in anchors:
-            w = names.get(x)
-            if w is None:
-                continue
-            if where is None:
-                where = defaultdict(list)
-                for i, own in enumerate(a_src):
-                    for y in own:
-                        where[y].append(i)
-            total[j] += w
-            held = where[x]
-            for i in held:
-                got[i, j] += w
-            for i in {k for i in held for k in (i - 1, i) if 0 <= k < m - 1}:
-                got[m + i, j] += w
-    e = got / np.maximum(total, 1e-6)
-    # nothing is known of sentences without a feature that the lexicon has
-    known_t = total > 0 if table is None else np.maximum.reduceat(t_ids != table[1].none, col_at[:-1])
-    known_s = np.zeros(m, bool) if table is None else np.maximum.reduceat(s_ids != table[0].none, row_at[:-1])
-    blind = ~(np.concatenate([known_s, known_s[:-1] | known_s[1:]])[:, None] & known_t[None, :])
-    return np.where(blind & (got <= 0), -1.0, e), total
+        s_index, t_index, dice, weights = table
+        s_ids, s_at, s_first = _placed(r.s, r.s_at, r.m_at, rows, s_index)
+        t_ids, t_at, t_first = _placed(r.t, r.t_at, r.n_at, rows, t_index)
+        w = weights[t_ids]
+        total += np.add.reduceat(w, t_at[:-1])
+        known_s = np.maximum.reduceat(s_ids != s_index.none, s_at[:-1])
+        known_t = np.maximum.reduceat(t_ids != t_index.none, t_at[:-1])
+        own_rows, own_cols = dice.rows(s_ids), dice.cols(t_ids)
+        # where sentences begin in their text
+        s_in, t_in = s_at[:-1] - np.repeat(s_first[:-1], m), t_at[:-1] - np.repeat(t_first[:-1], n)
+        bounds = (x.tolist() for x in (at, m_at, n_at, s_first, t_first))
+        for (g, g_end), (i, i_end), (j, j_end), (x, x_end), (y, y_end) in zip(*map(pairwise, bounds), strict=True):
+            k, ids, jds, cols, source = i_end - i, s_ids[x:x_end], t_ids[y:y_end], own_cols[y:y_end], s_in[i:i_end]
+            v = np.empty((2 * k - 1, y_end - y), np.float32)
+            if len(ids) * len(jds) <= BLOCK:
+                np.maximum.reduceat(dice.of(own_rows[x:x_end], ids, cols, jds), source, axis=0, out=v[:k])
+            else:  # long texts: a source sentence at a time
+                for z, (b, e) in enumerate(pairwise([*source.tolist(), len(ids)])):
+                    v[z] = dice.of(own_rows[x + b : x + e], ids[b:e], cols, jds).max(0)
+            if k > 1:
+                np.maximum(v[: k - 1], v[1:k], out=v[k:])
+            v *= w[y:y_end]
+            got[g:g_end] = np.add.reduceat(v, t_in[j:j_end], axis=1).ravel()
+    (anchors, of) = r.numbers("shared", 3, rows)
+    if len(anchors):
+        (j, i, k), of = anchors.T, rows.searchsorted(of)
+        w = ANCHOR * np.log(1 + (m[of] + 1) / (0.5 + np.abs(k)))
+        np.add.at(total, (n_at[of] + j)[k > 0], w[k > 0])
+        np.add.at(got, at[of] + i * n[of] + j, w)
+        # a span has an anchor once, if both of its sentences have it
+        both = np.append(False, (k[1:] < 0) & (i[1:] == i[:-1] + 1))
+        for span, ok in ((i, i < m[of] - 1), (i - 1, (i > 0) & ~both)):
+            np.add.at(got, (at[of] + (m[of] + span) * n[of] + j)[ok], w[ok])
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for k, shape in enumerate(zip(m.tolist(), n.tolist(), strict=True)):
+        shapes.setdefault(shape, []).append(k)
+    for (x, y), own in shapes.items():
+        few = max(1, BLOCK // (2 * x * y))
+        for k in range(0, len(own), few):
+            some = np.array(own[k : k + few])
+            e = got[at[some][:, None] + np.arange((2 * x - 1) * y)].reshape(-1, 2 * x - 1, y)
+            weight = total[n_at[some][:, None] + np.arange(y)]
+            # nothing is known of sentences without a feature that the lexicon has
+            by_s, by_t = known_s[m_at[some][:, None] + np.arange(x)], known_t[n_at[some][:, None] + np.arange(y)]
+            blind = ~(np.concatenate([by_s, by_s[:, :-1] | by_s[:, 1:]], axis=1)[:, :, None] & by_t[:, None, :])
+            yield rows[some], np.where(blind & (e <= 0), -1.0, e / np.maximum(weight, 1e-6)[:, None, :]), weight
+
+
+def _emissions(a: Side, b: Side, pair: str, table: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+    """Likeness of every state (rows) and target sentence (columns), and the weight of each target sentence, of one pair of texts."""
+    _, e, total = next(_likened(Read(_read_batch([_read_row(a, b, False, True, [0])])), np.zeros(1, int), table))
+    return e[0], total[0]
+
+
+def _stepped(e: np.ndarray, total: np.ndarray, m: int) -> np.ndarray:
+    """Likenesses of sources, then of spans, then what spans add, as steps; of each all sources by target sentence. A row for each text."""
+    like = np.where(e < 0, UNKNOWN, LIKE.searchsorted(e, "right") * (len(SIZES) + 1) + SIZES.searchsorted(total)[:, None, :])
+    adds = ADDED.searchsorted(e[:, m:] - np.maximum(e[:, : m - 1], e[:, 1:m]), "right")
+    return np.concatenate([x.astype(np.uint8).transpose(0, 2, 1).reshape(len(e), -1) for x in (like[:, :m], like[:, m:], adds)], axis=1)
 
 
 def _steps(likeness: tuple[np.ndarray, np.ndarray], m: int) -> bytes:
-    """Likenesses of sources, then of spans, then what spans add, as steps; of each all sources by target sentence."""
+    """The same for one text."""
     e, total = likeness
-    like = np.where(e < 0, UNKNOWN, LIKE.searchsorted(e, "right") * (len(SIZES) + 1) + SIZES.searchsorted(total)).astype(np.uint8)
-    adds = ADDED.searchsorted(e[m:] - np.maximum(e[: m - 1], e[1:m]), "right").astype(np.uint8)
-    return np.concatenate([like[:m].T.ravel(), like[m:].T.ravel(), adds.T.ravel()]).tobytes()
+    return _stepped(e[None], total[None], m).tobytes()
 
 
 class Trellis:
@@ -696,49 +836,59 @@ _LIKENESS = "ids array<bigint>, m int, n int, src array<int>, tgt array<int>, st
 
 
 def _likeness(lex):
-    """A row for each different pair of texts of a batch: its translations, where sentences begin, and their likenesses."""
+    """For each row of `read` its translations, where sentences begin, and their likenesses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = lex.value
         for batch in batches:
-            sides, out = _Sides(), []
-            row_ids = batch.column("row_id").to_pylist()
-            for (src, tgt, lang), rows in _once(batch, "src", "tgt", "lang").items():
-                a, b = sides[src], Side(tgt)
-                if src == tgt or a.lang == b.lang is not None:
-                    if not same_in_both(src, tgt, lang):
-                        continue
-                elif refuses(tgt):
-                    continue
-                m, n = len(a.spans), len(b.spans)
-                if m and n:
-                    pair = f"{a.lang}>{b.lang}"
-                    out.append(([row_ids[i] for i in rows], m, n, [x for x, _ in a.spans], [x for x, _ in b.spans], _steps(_emissions(a, b, pair, table.get(pair)), m)))
-            cols = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = (pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["ids", "m", "n", "src", "tgt", "steps"])
+            r, steps = Read(batch), [b""] * batch.num_rows
+            for pair, rows in r.pairs("kept"):
+                for some, e, total in _likened(r, rows, lex.value.get(pair)):
+                    for k, x in zip(some.tolist(), _stepped(e, total, (e.shape[1] + 1) // 2), strict=True):
+                        steps[k] = x.tobytes()
+            kept = (batch.column("ids"), pa.array(r.m, pa.int32()), pa.array(r.n, pa.int32()), batch.column("src"), batch.column("tgt"))
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(steps, pa.binary())], names=["ids", "m", "n", "src", "tgt", "steps"])
 
     return run
 
 
-def _trellises(batch: pa.RecordBatch, model: Model) -> Iterator[tuple[list[int], Trellis]]:
-    """The rows of a batch by shape, as many at once as BLOCK allows, with their trellis."""
-    steps = batch.column("steps").to_pylist()
-    for (m, n), rows in _once(batch, "m", "n").items():
+def _trellises(batch: pa.RecordBatch, model: Model) -> Iterator[tuple[list[list[int]], Trellis]]:
+    """The different likenesses of a batch by shape, as many at once as BLOCK allows: the rows of each, and their trellis."""
+    shapes: dict[tuple[int, int], list[tuple[bytes, list[int]]]] = {}
+    for (m, n, steps), rows in _once(batch, "m", "n", "steps").items():
+        shapes.setdefault((m, n), []).append((steps, rows))
+    for (m, n), own in shapes.items():
         few = max(1, BLOCK // (m * n))
-        for k in range(0, len(rows), few):
-            some = rows[k : k + few]
-            yield some, Trellis([steps[i] for i in some], m, n, model)
+        for k in range(0, len(own), few):
+            some = own[k : k + few]
+            yield [rows for _, rows in some], Trellis([steps for steps, _ in some], m, n, model)
 
 
 def _expected(model: Model):
+    """Sums over all texts; equal likenesses are held, up to half a BLOCK of different ones, and worked on once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
+        held: dict[tuple[int, int], dict[bytes, int]] = defaultdict(dict)
+
+        def add_up() -> None:
+            for (m, n), own in held.items():
+                steps, times, few = list(own), np.array(list(own.values()), float), max(1, BLOCK // (m * n))
+                for k in range(0, len(steps), few):
+                    for what, x in Trellis(steps[k : k + few], m, n, model).expected(times[k : k + few]).items():
+                        total[what] = total.get(what, 0) + x
+            held.clear()
+
+        size = 0
         for batch in batches:
-            ids = batch.column("times").to_pylist()
-            for rows, trellis in _trellises(batch, model):
-                for k, x in trellis.expected(np.array([ids[i] for i in rows], float)).items():
-                    total[k] = total.get(k, 0) + x
+            for m, n, steps, times in zip(*(batch.column(c).to_pylist() for c in ("m", "n", "steps", "times")), strict=True):
+                own = held[m, n]
+                if (before := own.get(steps)) is None:
+                    before, size = 0, size + len(steps)
+                own[steps] = before + times
+            if size > BLOCK // 2:
+                add_up()
+                size = 0
+        add_up()
         flat = [(k, i, float(y)) for k, x in total.items() for i, y in enumerate(x)]
         cols = list(zip(*flat, strict=True)) if flat else [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.float64()), strict=True)], names=["what", "i", "x"])
@@ -749,7 +899,8 @@ def _expected(model: Model):
 def learnt(likeness: DataFrame) -> Model:
     """The model estimated from all texts; a few dozen sums reach the driver in each round."""
     model = START
-    slim = likeness.select("m", "n", "steps", F.size("ids").alias("times"))
+    # a part for each core at most: equal likenesses meet, and what is done by shape is done for more texts at once
+    slim = likeness.select("m", "n", "steps", F.size("ids").alias("times")).coalesce(likeness.sparkSession.sparkContext.defaultParallelism)
     for _ in range(ROUNDS):
         sums = slim.mapInArrow(_expected(model), "what string, i int, x double").groupBy("what", "i").agg(F.sum("x").alias("x")).collect()
         if not sums:
@@ -764,22 +915,32 @@ def learnt(likeness: DataFrame) -> Model:
 def _decoder(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, src, tgt = (batch.column(c).to_pylist() for c in ("ids", "src", "tgt"))
-            out: list[tuple[int, int, int]] = []
+            flat = {c: batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "src", "tgt")}
+            many = {c: batch.column(c).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for c in flat}
+            at = {c: _starts(x) for c, x in many.items()}
+            texts, src, tgt = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, int)]
             for rows, trellis in _trellises(batch, model):
-                for i, path in zip(rows, trellis.paths(), strict=True):
-                    found = _pairs(path, src[i], tgt[i])
-                    out += [(x, *y) for x in ids[i] for y in found]
-            cols = list(zip(*out, strict=True)) if out else [()] * 3
-            kinds = (pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["translation_id", "src_start", "tgt_start"])
+                path = np.repeat(trellis.paths(), [len(own) for own in rows], axis=0)
+                row = np.array([i for own in rows for i in own])
+                k, j = (path[:, :, 0] >= 0).nonzero()
+                first, last = path[k, j].T
+                for i, who in ((first, slice(None)), (last, last > first)):
+                    text = row[k[who]]
+                    texts.append(text)
+                    src.append(flat["src"][at["src"][text] + i[who]])
+                    tgt.append(flat["tgt"][at["tgt"][text] + j[who]])
+            text = np.concatenate(texts)
+            times = many["ids"][text]
+            ids = flat["ids"][_inner(at["ids"][text], times)]
+            cols = (pa.array(ids, pa.int64()), *(pa.array(np.repeat(np.concatenate(x), times), pa.int32()) for x in (src, tgt)))
+            yield pa.RecordBatch.from_arrays(list(cols), names=["translation_id", "src_start", "tgt_start"])
 
     return run
 
 
 def aligned(texts: DataFrame) -> DataFrame:
     """(translation_id, src_start, tgt_start) of `texts` (row_id, lang, src, tgt)."""
-    texts = texts.where(F.col("src").isNotNull() & F.col("tgt").isNotNull())
-    lex = texts.sparkSession.sparkContext.broadcast(lexicon(texts))
-    likeness = checkpointed(texts.select("row_id", "lang", "src", "tgt").mapInArrow(_likeness(lex), _LIKENESS))
+    texts = read(texts.where(F.col("src").isNotNull() & F.col("tgt").isNotNull()))
+    lex = texts.sparkSession.sparkContext.broadcast(dice_tables(texts))
+    likeness = checkpointed(texts.where("kept").mapInArrow(_likeness(lex), _LIKENESS))
     return likeness.mapInArrow(_decoder(learnt(likeness)), "translation_id bigint, src_start int, tgt_start int").distinct()

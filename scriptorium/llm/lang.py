@@ -32,12 +32,14 @@ SPANISH_ENDING = re.compile(r"\b[a-záéíóúñ]{3,}[oa]s?\b")
 LATIN_LANGS = ("en", "fr", "es")
 #: for each word, which of the three languages it votes for, as bits
 BITS = {w: sum(1 << i for i, k in enumerate(LATIN_LANGS) if w in SETS[k]) for s in SETS.values() for w in s}
+#: for each language, the bits of words that vote for it
+HOLDS = [[b for b in range(1, 8) if b >> i & 1] for i in range(3)]
 
 
 def votes(text: str) -> list[int]:
     """Votes for en, fr and es."""
-    bits = [b for w in WORD.findall(text.lower()) if (b := BITS.get(w))]
-    out = [sum(b & 1 for b in bits), sum(b >> 1 & 1 for b in bits), sum(b >> 2 for b in bits)]
+    bits = list(filter(None, map(BITS.get, WORD.findall(text.lower()))))
+    out = [sum(map(bits.count, holds)) for holds in HOLDS]
     top = max(out)
     if top >= 4 and sum(2 * n > top for n in out) == 1:
         return out

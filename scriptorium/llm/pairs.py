@@ -102,7 +102,7 @@ def refuses(response: str | None) -> bool:
     return False
 
 
-SPACES = re.compile(r"\s+")
+SPACES = re.compile(r"[^\S ]\s*| \s+")  # any but a single space
 
 
 class SuffixAutomaton:

@@ -54,9 +54,15 @@ MARK = re.compile(
     # a full stop before a figure or a small letter ends nothing, save before openings like "p-values"
     r"(?P<mark>(?:\.(?!\d|[a-z](?!-))|[!?…])+|[。！？．｡]+)(?P<close>(?: ?»|[" + CLOSERS + r"])*)(?P<gap>\s*)|(?P<line>\s*\n\s*)"
 )
+#: The same for texts of one line: as it begins with a set of letters, all others are passed over at once.
+_MORE = r"(?:\.(?!\d|[a-z](?!-))|[!?…])*"
+MARK_IN_LINE = re.compile(
+    r"(?P<mark>[.!?…。！？．｡](?:(?<=[。！？．｡])[。！？．｡]*|(?<=[!?…])" + _MORE + r"|(?<=\.)(?!\d|[a-z](?!-))" + _MORE + r"))"
+    r"(?P<close>(?: ?»|[" + CLOSERS + r"])*)(?P<gap>\s*)(?P<line>\n)?"
+)
 QUOTE = re.compile(r"[\"“”«»「」『』()\[\]（）［］【】]")
 OPENING, CLOSING = set("“«「『([（［【"), set("”»」』)]）］】")
-LAST_WORD = re.compile(r"[^\s()（\[\]«»“”\"/'’!?⺀-鿿＀-￯]*$")
+LAST_WORD = re.compile(r"\n?([^\s()（\[\]«»“”\"/'’!?⺀-鿿＀-￯]*)")  # of a text read backwards
 
 
 UNSEEN = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
@@ -67,7 +73,9 @@ def last_word(text: str, end: int) -> str:
     near = text[max(0, end - 24) : end]
     if not near.isascii():
         near = UNSEEN.sub("", near)
-    word = LAST_WORD.search(near)[0].lower().lstrip(".")
+    word = LAST_WORD.match(near[::-1])[1][::-1].lower().lstrip(".")
+    if "." not in word:
+        return word
     head, _, tail = word.rpartition(".")
     return tail if len(head) > 3 and tail.isalpha() else word  # "twice.No": the space is missing
 
@@ -121,10 +129,10 @@ def _depths(text: str) -> tuple[list[int], list[int]]:
 def _score(text: str, m: re.Match, n: int) -> float | None:
     """How well a sentence closes before and another opens after the mark; None where it can't."""
     end = m.end()
-    if m["line"] is not None:
+    mark, close, gap, line = m.groups()
+    if line is not None:
         before = text[m.start() - 1] if m.start() else ""
         return 4.0 if before in ".!?…。！？:：；;" + CLOSERS.replace("\\", "") else 2.0
-    mark, close, gap = m["mark"], m["close"], m["gap"]
     nxt = text[end] if end < n else ""
     if not nxt:
         return None
@@ -229,11 +237,12 @@ def _candidates(text: str) -> list[tuple[int, int, float]]:
                 if s > 0:
                     start = m.end()
         return out
-    for m in MARK.finditer(text):
+    for m in (MARK if "\n" in text else MARK_IN_LINE).finditer(text):
         s = _score(text, m, n)
         if s is not None and s > -5:
-            end, following = (m.start(), m.end()) if m["line"] is not None else (m.end("close"), m.end())
-            q = m["close"].find('"') if m["line"] is None and not m["gap"] else -1
+            _, close, gap, line = m.groups()
+            end, following = (m.start(), m.end()) if line is not None else (m.end("close"), m.end())
+            q = close.find('"') if line is None and close and not gap else -1
             if q >= 0 and text.count('"', 0, m.end("mark") + q) % 2 == 0:
                 end = following = m.end("mark") + q
             out.append((end, following, s))
@@ -253,14 +262,8 @@ def spans(raw: str | None) -> list[tuple[int, int]]:
     if not places:
         return [(first, n)]
     at, depth = _depths(text)
-    if not at and all(p[2] >= 2.0 for p in places) and n - first < LONG:
-        # nothing is quoted and every place is an end: the dynamic program would take them all
-        cuts = [first, *(x for p in places for x in p[:2]), n]
-        if all(cuts[i + 1] - cuts[i] >= SHORT for i in range(0, len(cuts), 2)):
-            return list(zip(cuts[::2], cuts[1::2], strict=True))
     starts = [first, *(p[1] for p in places)]
     ends = [*(p[0] for p in places), n]
-    gain = [*(p[2] for p in places), 0.0]
     # depth of quotation before each end, by one walk
     inside, k, now = [], 0, 0
     for e in ends:
@@ -268,17 +271,28 @@ def spans(raw: str | None) -> list[tuple[int, int]]:
             now = depth[k]
             k += 1
         inside.append(now)
+    if n - first < LONG and not any(inside) and all(p[2] >= 2.0 for p in places):
+        # nothing is quoted across an end and every place is one: the dynamic program would take them all
+        if all(e - b >= SHORT for b, e in zip(starts, ends, strict=True)):
+            return list(zip(starts, ends, strict=True))
+    gain = [*(p[2] for p in places), 0.0]
     best, back, highest = [0.0], [0], [0.0]
     for j, e in enumerate(ends):
-        top, who = -1e9, 0
+        top, who, own, now = -1e9, 0, gain[j], inside[j]
         for i in range(j, -1, -1):
             before = inside[i - 1] if i else 0
             size = e - starts[i]
-            s = best[i] + gain[j] + _length(size) - (7.0 if inside[j] != before else 0.0) - (7.0 if before else 0.0)
+            s = best[i] + own
+            if size > LONG or size < SHORT:
+                s += _length(size)
+            if now != before:
+                s -= 7.0
+            if before:
+                s -= 7.0
             if s > top:
                 top, who = s, i
             # longer spans only lose by their length, so none of those that begin before can win any more
-            if size > LONG and i and highest[i - 1] + gain[j] + _length(e - starts[i - 1]) <= top:
+            if size > LONG and i and highest[i - 1] + own + _length(e - starts[i - 1]) <= top:
                 break
         best.append(top)
         highest.append(max(highest[-1], top))

@@ -179,3 +179,74 @@ def test_long_texts_in_blocks(monkeypatch):
     monkeypatch.setattr(align, "BLOCK", 10)
     got, _ = align._emissions(a, b, "en>fr", table)
     assert align.np.allclose(want, got)
+
+
+def _batch(rows):
+    pa = align.pa
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], names=["row_id", "lang", "src", "tgt"])
+
+
+def test_texts_are_read_once(monkeypatch):
+    """The lexicon and likenesses come from what one reading left; a batch gives what each pair of texts gives alone."""
+    np, rng = align.np, random.Random(7)
+    rows = []
+    for i in range(60):
+        s, t = zip(*[sentence(rng) for _ in range(rng.randrange(1, 5))], strict=True)
+        rows.append((i, "fr", " ".join(s), " ".join(t[: rng.randrange(1, 5)])))
+    rows += [(99, "fr", *rows[0][2:]), (100, "fr", rows[1][2], "Je suis désolé, je ne peux pas traiter ce passage."), (101, "fr", "2017", "2017"), (102, "fr", "?!", "« 12 »")]
+    cut = []
+    monkeypatch.setattr(align, "spans", lambda x, old=align.spans: cut.append(x) or old(x))
+    (read,) = align._reader(iter([_batch(rows)]))
+    assert len(cut) == len({r[2] for r in rows}) + len({r[2:] for r in rows})
+    monkeypatch.setattr(align, "spans", None)
+    counted = [r for b in align._counts(iter([read.filter(read.column("counted"))])) for r in b.to_pylist() if r["pair"] == "en>fr"]
+    assert max(r["n"] for r in counted if r["s"] == r["t"] == -1) >= 60
+    kept = align.Read(read.filter(read.column("kept")))
+    assert [0, 99] in kept.batch.column("ids").to_pylist() and [100] not in kept.batch.column("ids").to_pylist()
+    monkeypatch.undo()
+    s, t = (sorted({r[c] for r in counted if r[c] >= 0}) for c in ("s", "t"))
+    full = np.random.default_rng(8).random((len(s), len(t))).astype("float32")
+    i, j = full.nonzero()
+    lexicon = (align.Index(s), align.Index(t), align.Cells(i, j, full[i, j], len(s), len(t)), np.linspace(0.5, 2, len(t) + 1, dtype="float32"))
+    texts, seen = {r[0]: r[2:] for r in rows}, 0
+    for table in (lexicon, None):
+        for pair, own in kept.pairs("kept"):
+            for some, e, total in align._likened(kept, own, table):
+                for k, x, y in zip(some.tolist(), e, total, strict=True):
+                    a, b = map(align.Side, texts[kept.batch.column("ids")[k].as_py()[0]])
+                    want, weight = align._emissions(a, b, pair, table)
+                    assert np.allclose(x, want) and np.allclose(y, weight)
+                    seen += 1
+    assert seen == 2 * kept.size
+
+
+def test_features_that_share_a_hash_count_once_a_group():
+    rng, first, twin = random.Random(10), {}, None
+    for _ in range(5000):
+        w = "".join(rng.choices("bdfgklmnprstv", k=9))
+        if align._hash(w) in first:
+            twin = (first[align._hash(w)], w)
+            break
+        first[align._hash(w)] = w
+    text = f"The {twin[0]} is of the {twin[1]} in the work."
+    (read,) = align._reader(iter([_batch([(1, "fr", text, "Le bruit est dans les travaux.")])]))
+    got = [r for b in align._counts(iter([read])) for r in b.to_pylist()]
+    assert got and {r["n"] for r in got} == {1}
+
+
+def test_equal_likenesses_are_added_up_once(monkeypatch):
+    """Equal likenesses of several batches give the sums of all texts, in one trellis a shape."""
+    np, pa, rng = align.np, align.pa, align.np.random.default_rng(11)
+    kinds = [(m, n, align._steps((rng.random((2 * m - 1, n)), np.full(n, 20.0)), m), int(rng.integers(1, 4))) for m, n in ((1, 1), (1, 1), (2, 2), (3, 2))]
+    rows = [kinds[k] for k in rng.integers(0, len(kinds), 40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[k : k + 10], strict=True)], names=["m", "n", "steps", "times"]) for k in range(0, 40, 10)]
+    want = {}
+    for m, n, steps, times in rows:
+        for what, x in align.Trellis([steps], m, n, align.START).expected(np.array([float(times)])).items():
+            want[what] = want.get(what, 0) + x
+    made, old = [], align.Trellis
+    monkeypatch.setattr(align, "Trellis", lambda steps, m, n, model: made.append((m, n)) or old(steps, m, n, model))
+    (got,) = align._expected(align.START)(iter(batches))
+    assert sorted(made) == [(1, 1), (2, 2), (3, 2)]
+    for r in got.to_pylist():
+        assert np.isclose(r["x"], want[r["what"]][r["i"]])

@@ -108,3 +108,15 @@ def test_the_best_spans_of_all():
             parts.append("The cache " + "is slow and " * rng.choice([0, 1, 5, 120, 260]) + rng.choice(["ends. ", "ends? but ", "(ends. ", "ends.) ", '"ends. ', 'ends." ', "ends... ", "etc. "]))
         text = "".join(parts) + '"'
         assert S.spans(text) == slow(text)
+
+
+def test_marks_of_one_line():
+    """The quick pattern finds what the whole one finds in texts of one line."""
+    import random
+
+    from scriptorium.llm import sentences as S
+
+    rng = random.Random(3)
+    for _ in range(20000):
+        text = "".join(rng.choices("aZ1.!?…。！ »\"-)\tน", k=rng.randrange(1, 16)))
+        assert [m.groups() + m.span() for m in S.MARK_IN_LINE.finditer(text)] == [m.groups() + m.span() for m in S.MARK.finditer(text)], text
